@@ -92,21 +92,18 @@ def low_diameter_components(edges: DataFrame, scratch: Scratch, beta: float = 0.
     levels: list[DataFrame] = []
     current, level = edges, 0
     while current.head(1):
-        arcs = _both_ways(current)
-        unit = (F.pmod(F.xxhash64(F.col("v"), F.lit(level)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
-        state = (
-            arcs.select("v").distinct().select("v", (-F.log(unit) / beta).alias("lead"), F.col("v").alias("c"))
-        )
-        for _ in range(hops):
-            reach = arcs.join(state.select(F.col("v").alias("u"), "lead", "c"), "u").select(
-                "v", (F.col("lead") - 1).alias("lead"), "c"
-            )
-            state = (
-                state.unionByName(reach)
-                .groupBy("v")
-                .agg(F.max(F.struct("lead", "c")).alias("best"))
-                .select("v", "best.lead", "best.c")
-            )
+        both = _both_ways(current).withColumn("cost", F.lit(1.0))
+        stay = both.select("v").distinct().select(F.col("v").alias("u"), "v", F.lit(0.0).alias("cost"))
+        arcs = scratch.save(both.unionByName(stay), f"arcs{level}")
+        if level:
+            scratch.drop(f"arcs{level - 1}")
+        unit = (F.pmod(F.xxhash64(F.col("u"), F.lit(level)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+        reach = arcs.select("v", (-F.log(unit) / beta - F.col("cost")).alias("lead"), F.col("u").alias("c"))
+        for hop in range(hops):
+            if hop:
+                at = state.select(F.col("v").alias("u"), "lead", "c")
+                reach = arcs.join(at, "u").select("v", (F.col("lead") - F.col("cost")).alias("lead"), "c")
+            state = reach.groupBy("v").agg(F.max(F.struct("lead", "c")).alias("best")).select("v", "best.lead", "best.c")
         label = scratch.save(state.select("v", "c"), f"level{level}")
         levels.append(label)
         following = scratch.save(_contracted(current, label), f"between{level}")
@@ -154,7 +151,7 @@ def spanning_forest(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, Data
         step = 0
         while True:
             jumped = hooked
-            for _ in range(3):
+            for _ in range(2):
                 over = jumped.select(F.col("x").alias("c"), F.col("c").alias("cc"))
                 jumped = jumped.join(over, "c").select("x", F.col("cc").alias("c"))
             hooked = scratch.save(jumped, f"roots{level}_{step}")
