@@ -135,6 +135,7 @@ class Folder:
         self.seen: set[str] = set()
         self.automaton = None
         self.control = re.compile(r"[\x00-\x08\x0e-\x1b\x7f]")
+        self.beyond = re.compile(r"[^\x00-\x7f]+")
 
     def _learn(self, new: set[str]) -> None:
         self.seen |= new
@@ -160,6 +161,10 @@ class Folder:
         # marks that stood apart from their letter (behind an invisible character, or a second one) compose last
         return out if unicodedata.is_normalized("NFC", out) else unicodedata.normalize("NFC", out)
 
+    def _attached(self, c: str) -> bool:
+        """A mark, or nothing visible: belongs to the character before."""
+        return bool(unicodedata.combining(c)) or not self(c)
+
     def aligned(self, text: str) -> tuple[str, list[int]]:
         """The form, and for each of its characters (and its end) the offset in ``text`` from which it comes.
 
@@ -168,16 +173,33 @@ class Folder:
         """
         if text.isascii() and not self.control.search(text):
             return text, list(range(len(text) + 1))
-        out, back, start = [], [], 0
+        out, back, at = [], [], 0
         n = len(text)
-        while start < n:
-            end = start + 1
-            while end < n and not text[end].isascii() and (unicodedata.combining(text[end]) or not self(text[end])):
-                end += 1
-            piece = self(text[start:end])
-            out.append(piece)
-            back += [start] * len(piece)
-            start = end
+
+        def plain(start: int, end: int) -> None:
+            """ASCII without marks: one character each, controls aside."""
+            for c in self.control.finditer(text, start, end):
+                out.append(text[start : c.start()])
+                back.extend(range(start, c.start()))
+                start = c.end()
+            out.append(text[start:end])
+            back.extend(range(start, end))
+
+        for run in self.beyond.finditer(text):
+            start, end = run.span()
+            if start > at and self._attached(text[start]):
+                start -= 1
+            plain(at, start)
+            while start < end:
+                stop = start + 1
+                while stop < end and self._attached(text[stop]):
+                    stop += 1
+                piece = self(text[start:stop])
+                out.append(piece)
+                back += [start] * len(piece)
+                start = stop
+            at = end
+        plain(at, n)
         back.append(n)
         return "".join(out), back
 

@@ -27,6 +27,19 @@ BEFORE, AFTER = 48, 24
 TYPES = ["email", "phone", "id_number", "street_address", "person_name"]
 
 
+# Digits of a number with its country code, where the plan fixes them.
+_PLAN = {"1": 11, "44": 12, "91": 12, "33": 11, "34": 11}
+
+
+def _planned_end(number: str) -> int:
+    """Where a number with country code ends: groups beyond what its plan allows belong to the next words."""
+    digits = re.sub(r"\D", "", number)
+    most = next((n for code, n in _PLAN.items() if digits.startswith(code)), 15)
+    while sum(c.isdigit() for c in number) > most and (cut := re.search(r"[ .-]+\d+$", number)):
+        number = number[: cut.start()]
+    return len(number)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -66,10 +79,12 @@ def _rx(p: str, flags: int = 0) -> re.Pattern:
 _AT = r"(?:\s?@\s?|\s?[\[({<]\s?at\s?[\])}>]\s?)"
 _DOT = r"(?:\.|\s?[\[({<]\s?dot\s?[\])}>]\s?)"
 _LABEL = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
-_USER = r"[a-z0-9_](?:[a-z0-9_%+'-]|\.(?=[a-z0-9_]))*"
-EMAIL = _rx(rf"(?<![\w.%+-]){_USER}(?:{_DOT}[a-z0-9_+-]+)*{_AT}{_LABEL}(?:{_DOT}{_LABEL})+(?![\w-])", re.I)
+_USER = r"\w(?:[\w%+'-]|\.(?=\w))*"
+EMAIL = _rx(rf"(?<![\w.%+-]){_USER}(?:{_DOT}[\w+-]+)*{_AT}{_LABEL}(?:{_DOT}{_LABEL})+(?![\w-])", re.I)
 EMAIL_WORDS = _rx(rf"(?<![\w.%+-]){_USER}(?:\sdot\s[a-z0-9_+-]+)*\s(?:at)\s{_LABEL}(?:\s(?:dot)\s{_LABEL})+(?![\w-])", re.I)
 
+_SIGN = _rx(r"@|[\[({<]\s?at\s?[\])}>]")
+
 PHONE = [
     (_rx(r"(?<![\w+.-])\+\d{1,3}[ .-]?(?:\(0?\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,6}){1,4}(?![\w-]|[.,]\d)"), 0.7),
     (_rx(r"(?<![\w+.-])\([2-9]\d{2}\)[ .-]?\d{3}[ .-]\d{4}(?![\w-]|[.,]\d)"), 0.7),
@@ -87,7 +102,7 @@ _ID_FOR = _rx(
 )
 ID = [
     (_rx(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), 0.6, None),
-    (_rx(r"(?<![\w-])\d{4}([ -]?)\d{4}\1\d{4}(?![\w-]|[ ]\d)"), 0.1, verhoeff),
+    (_rx(r"(?<![\w-])\d{4}([ -]?)\d{4}\1\d{4}(?![\w-])"), 0.1, verhoeff),
     (_rx(r"(?<![\w-])[a-z]{5}\d{4}[a-z](?![\w-])", re.I), 0.6, None),
     (_rx(r"(?<![\w-])[a-z]{2}-\d{4}-\d{7}(?![\w-])", re.I), 0.6, None),
     (_rx(r"(?<![\w-])[a-z]{1,2}\d{6,8}(?![\w-])", re.I), 0.2, None),
@@ -121,37 +136,38 @@ def _person(w: str, initial: str) -> str:
     return rf"(?:{family},\s+{w}(?:\s+{initial}\.)*|{w}(?:\s+{initial}\.)*\s+{family})(?![\w-])"
 
 
-_TITLE = r"(?:(?i:(?:mr|mrs|ms|miss|dr|prof|herr|frau|señor|señora|sr|sra|mme|m)\b\.?\s+))?"
-_LEAD = [
-    r"my name is\s+", r"i spoke (?:to|with)\s+", r"last week\s+", r"\bagent\s+", r"\bcustomer:\s*", r"\bcustomer\s+",
-    r"card belongs to\s+", r"regards,\s+", r"sincerely,\s+", r"signed,?\s+", r"(?:^|[\s.!?])—\s*", r"\bname[:=]\s*",
-    r"\b(?:mr|mrs|ms|dr|prof)\.\s+", r"\bcontact(?: person)?:\s*", r"\bfrom:\s*", r"\bholder[:=]\s*",
-    r"\bdear\s+", r"\bi am\s+", r"\bsent by\s+", r"\bto:\s*", r"\bcc:\s*", r"\buser=\s*", r"\bby phone with\s+", r"\bspoke to\s+",
-]
-_TAIL = [
-    r"at the desk", r"wrote that", r"closed the chat", r"who never", r",\s+who never", r"was told to", r"signed the form",
-    r"told me", r"called me", r"promised", r"answered me",
-]
-_PAIRS = [
-    rf"(?:{'|'.join(_LEAD)})",
-]
-
-
-def _named(w: str, initial: str, flags: int = 0) -> list[re.Pattern]:
-    person = _person(w, initial)
-    lead = "|".join(f"(?i:{x})" for x in _LEAD)
-    tail = "|".join(f"(?i:{x})" for x in _TAIL)
-    return [
-        _rx(rf"(?:{lead}){_TITLE}(?P<name>{person})"),
-        _rx(rf"(?<![\w-])(?P<name>{person})(?=,?\s+(?:{tail}))"),
-    ]
-
+# Words that lead up to a name, in lower case, and words that follow one.
+LEAD = _rx(
+    r"(?<![^\W_])(?:my name is|i am|spoke (?:to|with)|last week|agent|customer:?|card belongs to|regards,|sincerely,|signed,?|—|"
+    r"name[:=]|(?:mr|mrs|ms|dr|prof)\.|contact(?: person)?:|from:|holder[:=]|dear|sent by|by phone with)\s*"
+)
+TITLE = _rx(r"(?:mr|mrs|ms|miss|dr|prof|herr|frau|señor|señora|sr|sra|mme)\b\.?\s+", re.I)
+_TAIL = r"(?=,?\s+(?:at the desk|wrote that|closed the chat|who never|was told to|signed the form|told me|called me|answered me))"
+_TAIL_ANY = rf"(?=(?i:{_TAIL[3:-1]}))"
+PERSONS = [_rx(_person(_CAP, "[A-Z]")), _rx(_person(_UP, "[A-Z]"))]
+FOLLOWED = [_rx(rf"(?<![\w-]){_person(_CAP, '[A-Z]')}{_TAIL}"), _rx(rf"(?<![\w-]){_person(_UP, '[A-Z]')}{_TAIL_ANY}")]
+# all in lower case only where the sentence closes the name off
+PERSON_LOW = _rx(rf"{_person(_LOW, '[a-z]')}(?=[.,;!\n]|\s+(?:at the desk|closed the chat|wrote that)|\s*$)")
+_LOW_LEADS = ("my name is", "spoke to", "agent", "card belongs to", "customer:", "regards,")
+
+
+def _names(text: str, low: str) -> Iterator[tuple[int, int]]:
+    """``low`` is the text in lower case, character by character."""
+    for m in LEAD.finditer(low):
+        at = m.end()
+        if t := TITLE.match(text, at):
+            at = t.end()
+        for rx in PERSONS:
+            if n := rx.match(text, at):
+                yield n.span()
+                break
+        else:
+            if m[0].startswith(_LOW_LEADS) and (n := PERSON_LOW.match(text, at)):
+                yield n.span()
+    for rx in FOLLOWED:
+        for m in rx.finditer(text):
+            yield m.span()
 
-NAMES = [*_named(_CAP, "[A-Z]"), *_named(_UP, "[A-Z]")]
-_LOWER = [
-    _rx(rf"(?:my name is|i spoke to|agent|the card belongs to|customer:|regards,)\s+{_TITLE}(?P<name>{_person(_LOW, '[a-z]')})(?=[.,;!\n]|\s+(?:at the desk|closed the chat|wrote that|$)|$)")
-]
-_SIGNED = _rx(rf"(?i:regards|sincerely|thanks|cheers|grüße|saludos|cordialement),\s*\n\s*{_TITLE}(?P<name>{_person(_CAP, '[A-Z]')})")
 
 Span = tuple[int, int, str]
 
@@ -161,17 +177,23 @@ def _before(text: str, at: int) -> str:
 
 
 def _proposals(text: str) -> Iterator[tuple[float, int, int, str]]:
-    if "@" in text or "at" in text or "AT" in text:
-        for rx, score in ((EMAIL, 0.9), (EMAIL_WORDS, 0.8)):
-            for m in rx.finditer(text):
-                yield score, m.start(), m.end(), "email"
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    if _SIGN.search(low):
+        for m in EMAIL.finditer(text):
+            yield 0.9, m.start(), m.end(), "email"
+    if " dot " in low:
+        for m in EMAIL_WORDS.finditer(text):
+            yield 0.8, m.start(), m.end(), "email"
     for rx, score in PHONE:
         for m in rx.finditer(text):
-            n = sum(c.isdigit() for c in m[0])
+            end = m.start() + (_planned_end(m[0]) if m[0][0] == "+" else len(m[0]))
+            n = sum(c.isdigit() for c in text[m.start() : end])
             lead = _before(text, m.start())
             s = score + 0.3 * bool(_PHONE_FOR.search(lead)) - 0.7 * bool(_NOT_PERSONAL.search(lead))
             if 7 <= n <= 15:
-                yield s, m.start(), m.end(), "phone"
+                yield s, m.start(), end, "phone"
     for rx, score, check in ID:
         for m in rx.finditer(text):
             lead = _before(text, m.start())
@@ -184,9 +206,8 @@ def _proposals(text: str) -> Iterator[tuple[float, int, int, str]]:
             lead = _before(text, m.start())
             s = score + 0.3 * bool(_STREET_FOR.search(lead)) - 0.5 * bool(_STREET_NOT.search(lead))
             yield s - 0.5 * bool(_STREET_NOT_AFTER.search(text[m.end() : m.end() + AFTER])), m.start(), m.end(), "street_address"
-    for rx in (*NAMES, _SIGNED, *_LOWER):
-        for m in rx.finditer(text):
-            yield 0.6, m.start("name"), m.end("name"), "person_name"
+    for start, end in _names(text, low):
+        yield 0.6, start, end, "person_name"
 
 
 def find_spans(form: str) -> list[Span]:
