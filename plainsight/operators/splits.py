@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,7 +45,7 @@ def grouped_folds(df: DataFrame, row: str, group: str, label: str, k: int = 5, g
     The ``greedy`` largest groups are placed one by one where the spread of class shares stays least; all
     smaller groups, which cannot unbalance a fold, go by hash. So the driver holds a bounded table.
     """
-    rows = df.select(row, F.col(group).alias("g"), F.col(label).alias("y"))
+    rows = df.select(row, F.col(group).alias("g"), F.coalesce(F.col(label).cast("string"), F.lit("")).alias("y"))
     sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
     large = sizes.orderBy(F.desc("n"), "g").limit(greedy)
     counts = rows.join(F.broadcast(large.select("g")), "g").groupBy("g", "y").count().collect()
@@ -53,21 +54,15 @@ def grouped_folds(df: DataFrame, row: str, group: str, label: str, k: int = 5, g
     for r in counts:
         per.setdefault(r["g"], {})[r["y"]] = r["count"]
         total[r["y"]] = total.get(r["y"], 0) + r["count"]
-    have = [dict.fromkeys(total, 0) for _ in range(k)]
+    classes = sorted(total)
+    whole = np.array([total[y] for y in classes], float)
+    have = np.zeros((k, len(classes)))
     placed = []
     for g, c in sorted(per.items(), key=lambda x: (-sum(x[1].values()), x[0])):
-
-        def cost(fold: int) -> tuple:
-            spread = 0.0
-            for y, n in total.items():
-                shares = [(have[f][y] + (c.get(y, 0) if f == fold else 0)) / n for f in range(k)]
-                mean = sum(shares) / k
-                spread += (sum((x - mean) ** 2 for x in shares) / k) ** 0.5
-            return spread, sum(have[fold].values()), fold
-
-        best = min(range(k), key=cost)
-        for y, n in c.items():
-            have[best][y] += n
+        mine = np.array([c.get(y, 0) for y in classes], float)
+        spread = [((have + np.eye(k)[f][:, None] * mine) / whole).std(axis=0).sum() for f in range(k)]
+        best = min(range(k), key=lambda f: (spread[f], have[f].sum(), f))
+        have[best] += mine
         placed.append((g, best))
     spark = df.sparkSession
     kind = df.schema[group].dataType.simpleString()

@@ -51,13 +51,18 @@ def walked_fields(record: Column) -> Column:
 def parse_records(df: DataFrame, categories: DataFrame, record: str = "text") -> DataFrame:
     """All rows of ``df`` with struct ``loaded`` (null where the record fails) and ``reason`` (null where it loads).
 
-    ``categories`` holds the valid names in its first column.
+    ``categories`` holds the valid names in its first column. Columns of ``df`` that bear one of these two names
+    are replaced.
     """
+    df = df.drop("loaded", "reason")
     closed = F.regexp_replace(F.col(record), r"(?:\r\n|\n|\r)\z", "")
     base = df.withColumn("_record", closed)
     read = base.withColumn("_read", F.from_csv("_record", _SCHEMA, _OPTIONS))
     doubtful = (
-        F.col("_read._corrupt").isNotNull() | F.col("_record").contains('"') | F.col("_record").rlike(r"[\r\n]")
+        F.col("_read._corrupt").isNotNull()
+        | F.col("_record").contains('"')
+        | F.col("_record").rlike(r"[\r\n]")
+        | ~F.col("_record").contains("\t")  # the reader skips blank lines without calling them corrupt
     )
     seen = read.withColumn("_walk", F.when(doubtful, walked_fields(F.col("_record"))))
     faulty = F.coalesce(F.col("_walk.open") | F.col("_walk.bad"), F.lit(False))
@@ -90,7 +95,7 @@ def parse_records(df: DataFrame, categories: DataFrame, record: str = "text") ->
 
 
 def rejected(df: DataFrame, categories: DataFrame) -> DataFrame:
-    return parse_records(df, categories).where("reason is not null").select("line_id", "reason")
+    return parse_records(df.select("line_id", "text"), categories).where("reason is not null").select("line_id", "reason")
 
 
 def loaded(df: DataFrame, categories: DataFrame) -> DataFrame:
