@@ -74,9 +74,9 @@ def same_looking_pairs(df: DataFrame, key: str = "id", text: str = "text") -> Da
     """``id_a`` < ``id_b``: rows of one consistent form whose texts differ. Null and blank texts take no part.
 
     Forms that occur in one spelling only are dropped after a partially aggregated pass; pairs are formed
-    within the rest. Repeated rows of the same spelling pair with other spellings only.
+    within the rest. A repeated row counts once; rows without an id are ignored.
     """
-    df = df.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    df = df.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     rewrite = look_alike_classes(code_point_counts(df))
     scratch = Scratch(df.sparkSession, "forms")
     rows = scratch.save(_digests(spread(df), rewrite), "digests")
@@ -86,7 +86,7 @@ def same_looking_pairs(df: DataFrame, key: str = "id", text: str = "text") -> Da
         .where(F.col("least") != F.col("most"))
         .select("form")
     )
-    kept = scratch.save(rows.join(several, "form", "left_semi"), "kept")
+    kept = scratch.save(rows.join(several, "form", "left_semi").distinct(), "kept")
     a = kept.select("form", F.col("id").alias("id_a"), F.col("text").alias("text_a"))
     b = kept.select("form", F.col("id").alias("id_b"), F.col("text").alias("text_b"))
     pair: Column = (F.col("id_a") < F.col("id_b")) & (F.col("text_a") != F.col("text_b"))

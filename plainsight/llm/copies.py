@@ -5,7 +5,7 @@ where it spans partitions: no key, however hot, has to fit one task. The scan co
 run a partition begins with can continue an earlier one; two summary rows a partition settle those.
 
 Defined cases: null and blank texts are no record and take no part; texts of punctuation alone have the
-empty key and are copies of each other; repeated ids are kept as they come.
+empty key and are copies of each other; a repeated row counts once; rows without an id are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ _NAMES = ["row_id", "least", "lead", "key", "summary"]
 def _scan_runs(batches):
     """Rows with the least id of their run so far; the key on first rows of runs; summaries of the edge runs."""
     part = TaskContext.get().partitionId()
-    last_key = last_least = None
+    last_key = last_least = last_id = None
     first: tuple | None = None
     leading = True
 
@@ -59,8 +59,12 @@ def _scan_runs(batches):
         if len(ids) > 1:
             starts[1:] = pc.not_equal(keys[1:], keys[:-1]).to_pylist()
         starts[0] = keys[0].as_py() != last_key
-        least, lead, heads = [], [], []
+        kept, least, lead, heads = [], [], [], []
         for k, (i, new) in enumerate(zip(ids, starts)):
+            if not new and i == last_id:
+                continue  # the row is repeated
+            kept.append(i)
+            last_id = i
             if new:
                 if first is None:
                     first = (keys[k].as_py(), i)
@@ -73,7 +77,7 @@ def _scan_runs(batches):
                 heads.append(None)
             least.append(last_least)
             lead.append(part if leading else None)
-        yield rows(ids, least, lead, heads, [False] * len(ids))
+        yield rows(kept, least, lead, heads, [False] * len(kept))
     if first is not None:
         edges = [first] if leading else [first, (last_key, last_least)]
         n = len(edges)
@@ -83,7 +87,7 @@ def _scan_runs(batches):
 def copy_runs(features: DataFrame, scratch: Scratch) -> DataFrame:
     """``row_id``, ``rep`` (least id among its copies) and, on representatives only, ``key``."""
     keyed = scratch.save(
-        _keyed(features.select("row_id", "text").where(F.col("text").isNotNull())), "keyed"
+        _keyed(features.select("row_id", "text").where("row_id is not null and text is not null")), "keyed"
     )
     parts = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = scratch.save(

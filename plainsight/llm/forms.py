@@ -68,11 +68,15 @@ class _Union:
 
 
 def _representative(members: list[str], freq: dict[str, int]) -> str:
-    """Nothing for what shows nothing; else plain text, then the most frequent member of the corpus, then the least."""
+    """Nothing for what shows nothing; else plain text, Latin letters, the most frequent member of the corpus
+    (a string occurs at most as often as its rarest code point), ordinary before styled ones, composed before apart.
+    """
 
     def rank(s: str):
         latin = unicodedata.name(s[:1] or " ", "").startswith("LATIN")
-        return (s != "", not s.isascii(), not latin, len(s) != 1, -freq.get(s, 0), s)
+        often = min((freq.get(c, 0) for c in s), default=0) if not s.isascii() and not latin else 0
+        styled = unicodedata.normalize("NFKC", s) != unicodedata.normalize("NFC", s)
+        return (s != "", not s.isascii(), not latin, -often, styled, len(s) != 1, s)
 
     return min(members, key=rank)
 

@@ -7,7 +7,8 @@ Rows without a page hang on their template; they never connect pages by themselv
 Any labelling whose classes lie within components leaves the components of the contracted graph unchanged,
 so both algorithms may stop a phase early: rounds decide speed, never the result.
 
-Defined cases: null and blank pages and null and blank texts link nothing; a row with neither is alone.
+Defined cases: null and blank pages and null and blank texts link nothing; a row with neither is alone; rows
+without an id are ignored; a repeated row comes out as often as it comes in.
 """
 
 from __future__ import annotations
@@ -54,6 +55,7 @@ class Links:
 
 
 def links(features: DataFrame, scratch: Scratch) -> Links:
+    features = features.where("row_id is not null")
     page = F.when(~F.col("page_id").rlike(_BLANK), digest("page_id")).alias("p")
     rows = scratch.save(_with_templates(features.select("row_id", page, "text")), "rows")
     on = scratch.save(rows.where("p is not null and t is not null").select("p", "t").distinct(), "on")
@@ -201,7 +203,8 @@ def group_ids(features: DataFrame) -> DataFrame:
     comp = low_diameter_components(net.edges, scratch)
     lone = net.rows.where("p is null and t is not null").select("row_id", "t").join(net.first.select("t", F.col("m").alias("p")), "t")
     pages = (
-        features.where(~F.col("page_id").rlike(_BLANK))
+        features.where("row_id is not null")
+        .where(~F.col("page_id").rlike(_BLANK))
         .groupBy("page_id")
         .agg(F.count("*").alias("n"))
         .withColumn("p", digest("page_id"))

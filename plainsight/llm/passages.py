@@ -5,7 +5,8 @@ The items are a stated query set held in memory only within ``HELD`` windows; mo
 each with its own scan over all texts. Offsets of a hit are mapped back to the text as it stands.
 
 Defined cases: null and empty texts and items hold nothing; items of fewer words than a window are never
-found; items listed under several ids are reported under each; null item ids are ignored.
+found; items listed under several ids are reported under each; null ids of items are ignored, a repeated
+document is reported as often as it comes in.
 """
 
 from __future__ import annotations

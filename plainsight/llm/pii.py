@@ -77,11 +77,12 @@ def _rx(p: str, flags: int = 0) -> re.Pattern:
 
 
 _AT = r"(?:\s?@\s?|\s?[\[({<]\s?at\s?[\])}>]\s?)"
+_DOT_WORD = r"\s?[\[({<]\s?dot\s?[\])}>]\s?"
 _DOT = r"(?:\.|\s?[\[({<]\s?dot\s?[\])}>]\s?)"
 _LABEL = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
 _USER = r"\w(?:[\w%+'-]|\.(?=\w))*"
-EMAIL = _rx(rf"(?<![\w.%+-]){_USER}(?:{_DOT}[\w+-]+)*{_AT}{_LABEL}(?:{_DOT}{_LABEL})+(?![\w-])", re.I)
-EMAIL_WORDS = _rx(rf"(?<![\w.%+-]){_USER}(?:\sdot\s[a-z0-9_+-]+)*\s(?:at)\s{_LABEL}(?:\s(?:dot)\s{_LABEL})+(?![\w-])", re.I)
+EMAIL = _rx(rf"(?<![\w.%+'-]){_USER}(?:{_DOT_WORD}[\w+-]+)*{_AT}{_LABEL}(?:{_DOT}{_LABEL})+(?![\w-])", re.I)
+EMAIL_WORDS = _rx(rf"(?<![\w.%+'-]){_USER}(?:\sdot\s[a-z0-9_+-]+)*\s(?:at)\s{_LABEL}(?:\s(?:dot)\s{_LABEL})+(?![\w-])", re.I)
 
 _SIGN = _rx(r"@|[\[({<]\s?at\s?[\])}>]")
 
@@ -119,7 +120,7 @@ STREET = [
     (_rx(rf"(?<![\w/.,$₹-]){_NO},?\s+(?:{_NAME}\s+){{1,3}}?{_ROAD}\b", re.I), 0.5),
     (_rx(rf"(?<![\w/.,$₹-]){_NO},?\s+(?:rue|avenue|boulevard|place|chemin|allée|quai|impasse)\s+(?:(?:de la|de l'|de|du|des|d')\s*)?{_NAME}", re.I), 0.6),
     (_rx(rf"(?<![\w])(?:calle|avenida|plaza|paseo|carrera|camino|via|vía)\s+(?:(?:de la|de los|de las|del|de)\s+)?{_NAME},?\s+{_NO}(?![\w/])", re.I), 0.6),
-    (_rx(rf"(?<![\w])[^\W\d_][\w'’-]*(?:straße|strasse|str\.|weg|gasse|allee|platz|damm|ufer)\s+{_NO}(?![\w/])", re.I), 0.6),
+    (_rx(rf"(?<![\w'’-])[^\W\d_][\w'’-]*(?:straße|strasse|str\.|weg|gasse|allee|platz|damm|ufer)\s+{_NO}(?![\w/])", re.I), 0.6),
 ]
 _STREET_FOR = _rx(r"(?:\b(?:live at|lives at|address|addr|sent (?:it )?(?:from|to)|ship (?:it )?to|went to|deliver(?:ed)? (?:it )?to|home|moved to|reside|residing at|old place)\b|=)", re.I)
 _STREET_NOT = _rx(r"\b(?:top|only|took|after|build|batch|the)\s*$", re.I)
