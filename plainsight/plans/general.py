@@ -10,7 +10,7 @@ from plainsight import constants as C
 from plainsight.functions import labels, scoring, text
 from plainsight.functions.signals import signals, with_signals
 from plainsight.operators import codes, components, corpus, describe, metrics, sampling, scaling, splits, terms
-from plainsight.session import table
+from plainsight.session import spread, table
 
 QUERIES: dict = {}
 
@@ -72,11 +72,11 @@ def _features(s: SparkSession, d: str) -> DataFrame:
 
 def _recomputed(s: SparkSession, d: str) -> DataFrame:
     """Features with the signals counted anew (stored ones may be stale)."""
-    return with_signals(_features(s, d).drop(*C.SIGNALS))
+    return with_signals(spread(_features(s, d).select("row_id", "page_id", "text", "pattern_category", "label")))
 
 
 def _skeletons(s: SparkSession, d: str) -> DataFrame:
-    f = _features(s, d).where("text is not null")
+    f = spread(_features(s, d).select("row_id", "page_id", "text", "pattern_category", "batch_id").where("text is not null"))
     return f.select("row_id", "page_id", "pattern_category", "batch_id", text.skeleton(F.col("text")).alias("skeleton"))
 
 
@@ -85,7 +85,7 @@ def _skeletons(s: SparkSession, d: str) -> DataFrame:
 
 @query("signals12", f"{SQL_SIG} select row_id, {', '.join(C.SIGNALS)} from sig")
 def _(s, d):
-    return _features(s, d).select("row_id", *signals(F.col("text")))
+    return spread(_features(s, d).select("row_id", "text")).select("row_id", *signals(F.col("text")))
 
 
 @query("signals12_ood", f"select ood_id, {sql_signals('text')} from ood_real_test")
@@ -215,7 +215,7 @@ g as (select row_id, coalesce(x.c, y.c, 'r' || row_id) as c from k left join com
 
 
 def _groups(s: SparkSession, d: str) -> DataFrame:
-    f = _features(s, d)
+    f = spread(_features(s, d).select("row_id", "page_id", "text"))
     return components.linked_rows(f, "row_id", [F.col("page_id"), text.skeleton(F.col("text"))])
 
 
@@ -382,7 +382,7 @@ SQL_GRAMS = SQL_WORDS + ", g as (" + " union all ".join(f"select row_id, unnest(
 
 
 def _gram_counts(s, d):
-    f = _features(s, d).where("text is not null")
+    f = spread(_features(s, d).select("row_id", "text").where("text is not null"))
     return terms.term_counts(f, "row_id", text.word_ngrams(F.col("text")))
 
 
@@ -403,7 +403,7 @@ def _(s, d):
 g as (""" + " union all ".join(f"select row_id, unnest(list_transform(range(1, greatest(length(p) - {n} + 2, 1)), lambda i: substr(p, i, {n}))) as term from w" for n in range(2, 7)) + """),
 c as (select row_id, term, count(*) as tf from g group by all) select term, count(*) as df, sum(tf)::bigint as total from c group by term having count(*) >= 2""")
 def _(s, d):
-    f = _features(s, d).where("text is not null")
+    f = spread(_features(s, d).select("row_id", "text").where("text is not null"))
     return terms.vocabulary(terms.term_counts(f, "row_id", text.char_wb_ngrams(F.col("text"))))
 
 
@@ -515,7 +515,7 @@ def _(s, d):
     """Held-out macro F1 of the calibrated SVM on the first fold of a group-safe split."""
     from plainsight.ml import models
 
-    f = _recomputed(s, d).drop("label")
+    f = _recomputed(s, d)
     data = models.prepared(f)
     folds = splits.grouped_folds(
         _groups(s, d).join(f.select("row_id", "pattern_category"), "row_id"), "row_id", "group", "pattern_category"
