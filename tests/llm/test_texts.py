@@ -74,9 +74,10 @@ class TestTokens:
         @given(st.lists(st.text(st.characters(codec="utf-8"), max_size=30), max_size=5))
         def check(texts):
             pieces = [p for t in texts for p in cut(t)]
-            ids = encoder.encode([p.encode() for p in pieces])
-            assert b"".join(back[i] for x in ids for i in x) == "".join(texts).encode()
-            assert [i for x in ids for i in x] == [i for t in texts for i in lib.encode_ordinary(t)]
+            ids, sizes = encoder.encode([p.encode() for p in pieces])
+            assert len(sizes) == len(pieces) and sizes.sum() == len(ids)
+            assert b"".join(back[i] for i in ids.tolist()) == "".join(texts).encode()
+            assert ids.tolist() == [i for t in texts for i in lib.encode_ordinary(t)]
 
         check()
 
