@@ -86,14 +86,18 @@ EMAIL_WORDS = _rx(rf"(?<![\w.%+'-]){_USER}(?:\sdot\s[a-z0-9_+-]+)*\s(?:at)\s{_LA
 
 _SIGN = _rx(r"@|[\[({<]\s?at\s?[\])}>]")
 
-PHONE = [
-    (_rx(r"(?<![\w+.-])\+\d{1,3}[ .-]?(?:\(0?\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,6}){1,4}(?![\w-]|[.,]\d)"), 0.7),
-    (_rx(r"(?<![\w+.-])\([2-9]\d{2}\)[ .-]?\d{3}[ .-]\d{4}(?![\w-]|[.,]\d)"), 0.7),
-    (_rx(r"(?<![\w+.(-])[2-9]\d{2}([ .-])\d{3}\1\d{4}(?![\w-]|[.,]\d)"), 0.6),
-    (_rx(r"(?<![\w+.(-])0\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4}(?![\w-]|[ .,]\d{3})"), 0.5),
-    (_rx(r"(?<![\w+.(-])0\d{9,10}(?![\w-]|[.,]\d)"), 0.3),
-    (_rx(r"(?<![\w+.(-])[6-9]\d{4}[ -]?\d{5}(?![\w-]|[.,]\d)"), 0.2),
-]
+_END = r"(?![\w-]|[.,]\d)"
+#: Shapes of phone numbers by the score they start from; one pass finds them all.
+PHONE_SCORE = {"code": 0.7, "area": 0.7, "ten": 0.6, "trunk": 0.5, "solid": 0.3, "split": 0.2}
+PHONE = _rx(
+    r"(?=[+(\d])(?<![\w+.-])(?:"
+    rf"(?P<code>\+\d{{1,3}}[ .-]?(?:\(0?\d{{1,4}}\)[ .-]?)?\d{{2,5}}(?:[ .-]?\d{{2,6}}){{1,4}}){_END}"
+    rf"|(?P<area>\([2-9]\d{{2}}\)[ .-]?\d{{3}}[ .-]\d{{4}}){_END}"
+    rf"|(?<!\()(?P<ten>[2-9]\d{{2}}(?P<gap>[ .-])\d{{3}}(?P=gap)\d{{4}}){_END}"
+    r"|(?<!\()(?P<trunk>0\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4})(?![\w-]|[ .,]\d{3})"
+    rf"|(?<!\()(?P<solid>0\d{{9,10}}){_END}"
+    rf"|(?<!\()(?P<split>[6-9]\d{{4}}[ -]?\d{{5}}){_END})"
+)
 _PHONE_FOR = _rx(r"\b(?:call|tel|telephone|phone|fone|mobile|cell|whatsapp|sms|rang|ring|reach|number is|contact|fax|dial)\b", re.I)
 _NOT_PERSONAL = _rx(r"\b(?:tracking|order|invoice|batch|build|code|inv|lot|ticket|reference|version|parcel no|sku)\b[^.!?\n]{0,24}$", re.I)
 
@@ -101,27 +105,32 @@ _ID_FOR = _rx(
     r"\b(?:passport|social security|ssn|tax (?:number|id|no)|taxpayer|identity (?:card|number)|id card|national (?:identity|id|insurance)|"
     r"driv(?:ing|er'?s?) licen[cs]e|licen[cs]e (?:no|number)|aadhaar|pan\b|nino|personalausweis|dni|nif)", re.I,
 )
+#: Shapes of identity numbers: the score they start from, and the validator that may raise it.
+ID_KIND = {
+    "social": (0.6, None), "triple": (0.1, verhoeff), "tagged": (0.2, None), "digits": (0.1, luhn),
+    "tax": (0.6, None), "licence": (0.6, None), "passport": (0.2, None), "insured": (0.4, None), "account": (0.0, mod97),
+}
 ID = [
-    (_rx(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), 0.6, None),
-    (_rx(r"(?<![\w-])\d{4}([ -]?)\d{4}\1\d{4}(?![\w-])"), 0.1, verhoeff),
-    (_rx(r"(?<![\w-])[a-z]{5}\d{4}[a-z](?![\w-])", re.I), 0.6, None),
-    (_rx(r"(?<![\w-])[a-z]{2}-\d{4}-\d{7}(?![\w-])", re.I), 0.6, None),
-    (_rx(r"(?<![\w-])[a-z]{1,2}\d{6,8}(?![\w-])", re.I), 0.2, None),
-    (_rx(r"(?<![\w-])[a-z]{2} ?\d{2} ?\d{2} ?\d{2} ?[a-d](?![\w-])", re.I), 0.4, None),
-    (_rx(r"(?<![\w-])\d{8}-?[a-z](?![\w-])", re.I), 0.2, None),
-    (_rx(r"(?<![\w-])\d{9,13}(?![\w-])"), 0.1, luhn),
-    (_rx(r"(?<![\w-])[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){3,7}(?: ?[a-z0-9]{1,3})?(?![\w-])", re.I), 0.0, mod97),
-]
+    _rx(
+        r"(?=\d)(?<![\w-])(?:(?P<social>\d{3}-\d{2}-\d{4})|(?P<triple>\d{4}(?P<gap>[ -]?)\d{4}(?P=gap)\d{4})"
+        r"|(?P<tagged>\d{8}-?[a-z])|(?P<digits>\d{9,13}))(?![\w-])"
+    ),
+    _rx(
+        r"(?=[a-z]{1,5}[- ]?\d)(?<![\w-])(?:(?P<tax>[a-z]{5}\d{4}[a-z])|(?P<licence>[a-z]{2}-\d{4}-\d{7})|(?P<passport>[a-z]{1,2}\d{6,8})"
+        r"|(?P<insured>[a-z]{2} ?\d{2} ?\d{2} ?\d{2} ?[a-d])|(?P<account>[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){3,7}(?: ?[a-z0-9]{1,3})?))(?![\w-])"
+    ),
+]  # searched in lower case
 
 _ROAD = r"(?:street|st|road|rd|lane|ln|avenue|ave|drive|dr|close|boulevard|blvd|terrace|crescent|court|ct|way|place|pl|square|sq|marg|gardens|row|parade|grove|hill|mews|walk)"
 _NO = r"\d{1,5}\s?[a-z]?(?:[/-]\d{1,3}[a-z]?)?"
 _NAME = r"[^\W\d_][\w'’-]+"
+#: Shapes of street addresses in lower case: pattern, score, and words one of which must occur.
 STREET = [
-    (_rx(rf"(?<![\w/.,$₹-]){_NO},?\s+(?:{_NAME}\s+){{1,3}}?{_ROAD}\b", re.I), 0.5),
-    (_rx(rf"(?<![\w/.,$₹-]){_NO},?\s+(?:rue|avenue|boulevard|place|chemin|allée|quai|impasse)\s+(?:(?:de la|de l'|de|du|des|d')\s*)?{_NAME}", re.I), 0.6),
-    (_rx(rf"(?<![\w])(?:calle|avenida|plaza|paseo|carrera|camino|via|vía)\s+(?:(?:de la|de los|de las|del|de)\s+)?{_NAME},?\s+{_NO}(?![\w/])", re.I), 0.6),
-    (_rx(rf"(?<![\w'’-])[^\W\d_][\w'’-]*(?:straße|strasse|str\.|weg|gasse|allee|platz|damm|ufer)\s+{_NO}(?![\w/])", re.I), 0.6),
-]
+    (_rx(rf"(?=\d)(?<![\w/.,$₹-]){_NO},?\s+(?:{_NAME}\s+){{1,3}}?{_ROAD}\b"), 0.5, ()),
+    (_rx(rf"(?=\d)(?<![\w/.,$₹-]){_NO},?\s+(?:rue|avenue|boulevard|place|chemin|allée|quai|impasse)\s+(?:(?:de la|de l'|de|du|des|d')\s*)?{_NAME}"), 0.6, ("rue", "avenue", "boulevard", "place", "chemin", "allée", "quai", "impasse")),
+    (_rx(rf"(?<![\w])(?:calle|avenida|plaza|paseo|carrera|camino|via|vía)\s+(?:(?:de la|de los|de las|del|de)\s+)?{_NAME},?\s+{_NO}(?![\w/])"), 0.6, ("calle", "avenida", "plaza", "paseo", "carrera", "camino", "via", "vía")),
+    (_rx(rf"(?<![\w'’-])[^\W\d_][\w'’-]*(?:straße|strasse|str\.|weg|gasse|allee|platz|damm|ufer)\s+{_NO}(?![\w/])"), 0.6, ("straße", "strasse", "str.", "weg", "gasse", "allee", "platz", "damm", "ufer")),
+]
 _STREET_FOR = _rx(r"(?:\b(?:live at|lives at|address|addr|sent (?:it )?(?:from|to)|ship (?:it )?to|went to|deliver(?:ed)? (?:it )?to|home|moved to|reside|residing at|old place)\b|=)", re.I)
 _STREET_NOT = _rx(r"\b(?:top|only|took|after|build|batch|the)\s*$", re.I)
 _STREET_NOT_AFTER = _rx(r"^\s*(?:bikes|trip|rage|runner|shoes|of\b|to\b|that\b|for\b)", re.I)
@@ -143,6 +152,7 @@ LEAD = _rx(
     r"name[:=]|(?:mr|mrs|ms|dr|prof)\.|contact(?: person)?:|from:|holder[:=]|dear|sent by|by phone with)\s*"
 )
 TITLE = _rx(r"(?:mr|mrs|ms|miss|dr|prof|herr|frau|señor|señora|sr|sra|mme)\b\.?\s+", re.I)
+_TAILS = ("at the desk", "wrote that", "closed the chat", "who never", "was told to", "signed the form", "told me", "called me", "answered me")
 _TAIL = r"(?=,?\s+(?:at the desk|wrote that|closed the chat|who never|was told to|signed the form|told me|called me|answered me))"
 _TAIL_ANY = rf"(?=(?i:{_TAIL[3:-1]}))"
 PERSONS = [_rx(_person(_CAP, "[A-Z]")), _rx(_person(_UP, "[A-Z]"))]
@@ -165,9 +175,10 @@ def _names(text: str, low: str) -> Iterator[tuple[int, int]]:
         else:
             if m[0].startswith(_LOW_LEADS) and (n := PERSON_LOW.match(text, at)):
                 yield n.span()
-    for rx in FOLLOWED:
-        for m in rx.finditer(text):
-            yield m.span()
+    if any(x in low for x in _TAILS):
+        for rx in FOLLOWED:
+            for m in rx.finditer(text):
+                yield m.span()
 
 
 Span = tuple[int, int, str]
@@ -187,23 +198,25 @@ def _proposals(text: str) -> Iterator[tuple[float, int, int, str]]:
     if " dot " in low:
         for m in EMAIL_WORDS.finditer(text):
             yield 0.8, m.start(), m.end(), "email"
-    for rx, score in PHONE:
-        for m in rx.finditer(text):
-            end = m.start() + (_planned_end(m[0]) if m[0][0] == "+" else len(m[0]))
-            n = sum(c.isdigit() for c in text[m.start() : end])
-            lead = _before(text, m.start())
-            s = score + 0.3 * bool(_PHONE_FOR.search(lead)) - 0.7 * bool(_NOT_PERSONAL.search(lead))
-            if 7 <= n <= 15:
-                yield s, m.start(), end, "phone"
-    for rx, score, check in ID:
-        for m in rx.finditer(text):
+    for m in PHONE.finditer(text):
+        shape = next(k for k in PHONE_SCORE if m[k])
+        end = m.start() + (_planned_end(m[0]) if shape == "code" else len(m[0]))
+        lead = _before(text, m.start())
+        s = PHONE_SCORE[shape] + 0.3 * bool(_PHONE_FOR.search(lead)) - 0.7 * bool(_NOT_PERSONAL.search(lead))
+        if 7 <= sum(c.isdigit() for c in text[m.start() : end]) <= 15:
+            yield s, m.start(), end, "phone"
+    for rx in ID:
+        for m in rx.finditer(low):
+            score, check = ID_KIND[next(k for k in ID_KIND if k in rx.groupindex and m[k])]
             lead = _before(text, m.start())
             s = score + 0.5 * bool(_ID_FOR.search(lead)) - 0.5 * bool(_NOT_PERSONAL.search(lead))
             if check is not None and check("".join(c for c in m[0] if c.isalnum()).upper()):
                 s += 0.3
             yield s, m.start(), m.end(), "id_number"
-    for rx, score in STREET:
-        for m in rx.finditer(text):
+    for rx, score, cues in STREET:
+        if cues and not any(c in low for c in cues):
+            continue
+        for m in rx.finditer(low):
             lead = _before(text, m.start())
             s = score + 0.3 * bool(_STREET_FOR.search(lead)) - 0.5 * bool(_STREET_NOT.search(lead))
             yield s - 0.5 * bool(_STREET_NOT_AFTER.search(text[m.end() : m.end() + AFTER])), m.start(), m.end(), "street_address"
