@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import HashingTF, IDF, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 from plainsight.constants import SIGNALS
 from plainsight.functions.text import char_wb_ngrams
 from plainsight.operators.metrics import MacroF1
+from plainsight.session import Scratch
 
 
 def featurizer(width: int = 1 << 12) -> Pipeline:
@@ -36,8 +37,13 @@ def prepared(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def linear_svm(c: float = 1.0, rows: int = 1000, features: str = "features", label: str = "label_code") -> OneVsRest:
-    svm = LinearSVC(regParam=1.0 / (c * max(rows, 1)), maxIter=20, featuresCol=features, labelCol=label)
-    return OneVsRest(classifier=svm, featuresCol=features, labelCol=label, parallelism=4)
+    svm = LinearSVC(regParam=1.0 / (c * max(rows, 1)), maxIter=20, tol=1e-3, featuresCol=features, labelCol=label)
+    return OneVsRest(classifier=svm, featuresCol=features, labelCol=label, parallelism=8)
+
+
+def sized(df: DataFrame, rows: int, per_task: int = 20_000) -> DataFrame:
+    """Partitions by rows: solvers run hundreds of short jobs, and tasks of a few rows only cost time."""
+    return df.coalesce(max(1, -(-rows // per_task)))
 
 
 def best_c(df: DataFrame, folds: DataFrame, row: str, grid: tuple[float, ...] = (0.5, 1.0, 2.0)) -> list[tuple[float, float, float]]:
@@ -50,7 +56,8 @@ def best_c(df: DataFrame, folds: DataFrame, row: str, grid: tuple[float, ...] =
         values = []
         for f in range(k):
             train, test = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
-            model = linear_svm(c, train.count()).fit(train)
+            n = train.count()
+            model = linear_svm(c, n).fit(sized(train, n))
             values.append(score.evaluate(model.transform(test)))
         mean = sum(values) / k
         out.append((c, mean, (sum((v - mean) ** 2 for v in values) / k) ** 0.5))
@@ -118,18 +125,32 @@ def oversampled(df: DataFrame, row: str, vector: str, label: str, k: int = 5, se
     return base.unionByName(made)
 
 
-def calibrated(scored: DataFrame, classes: int, label: str = "label_code", raw: str = "rawPrediction") -> list[tuple[float, float]]:
-    """Sigmoid (slope, intercept) per class from out-of-fold margins."""
-    out = []
-    for c in range(classes):
-        one = scored.select(F.array(vector_to_array(raw)[c]).alias("m"), (F.col(label) == c).cast("double").alias("hit"))
-        one = one.select(array_to_vector("m").alias("m"), "hit")
-        if one.select("hit").distinct().count() < 2:
-            out.append((0.0, -20.0))
-            continue
-        lr = LogisticRegression(featuresCol="m", labelCol="hit", maxIter=50).fit(one)
-        out.append((float(lr.coefficients[0]), float(lr.intercept)))
-    return out
+def calibrated(scored: DataFrame, classes: int, label: str = "label_code", raw: str = "rawPrediction", rounds: int = 15) -> list[tuple[float, float]]:
+    """Sigmoid (slope, intercept) per class from held-out margins, by Newton steps over smoothed targets.
+
+    One aggregate a round serves all classes, so the rows are read ``rounds`` times however many classes there are.
+    """
+    spark = scored.sparkSession
+    each = scored.select(F.posexplode(vector_to_array(raw)).alias("c", "m"), F.col(label).cast("int").alias("y"))
+    hit = (F.col("y") == F.col("c")).cast("int").alias("hit")
+    margins = Scratch(spark, "margins").save(each.select("c", "m", hit), "margins")
+    hits = {r["c"]: (r["k"], r["n"]) for r in margins.groupBy("c").agg(F.sum("hit").alias("k"), F.count("*").alias("n")).collect()}
+    fit = {c: (1.0, 0.0) for c in range(classes)}
+    p = 1.0 / (1.0 + F.exp(-(F.col("m") * F.col("slope") + F.col("intercept"))))
+    target = F.when(F.col("hit") == 1, F.col("yes")).otherwise(F.col("no"))
+    w, e = p * (1.0 - p), target - p
+    for _ in range(rounds if hits else 0):
+        # the parameters come as rows, so every round runs the same compiled plan
+        now = [(c, *fit[c], (k + 1) / (k + 2), 1 / (n - k + 2)) for c, (k, n) in hits.items()]
+        table = spark.createDataFrame(now, "c int, slope double, intercept double, yes double, no double")
+        sums = margins.join(F.broadcast(table), "c").groupBy("c").agg(*[F.sum(x) for x in (e * F.col("m"), e, w * F.col("m") * F.col("m"), w * F.col("m"), w)])
+        for c, ga, gb, haa, hab, hbb in sums.collect():
+            haa, hbb = haa + 1e-6, hbb + 1e-6
+            det = haa * hbb - hab * hab
+            step_a, step_b = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+            longest = max(abs(step_a), abs(step_b), 5.0) / 5.0
+            fit[c] = (fit[c][0] + step_a / longest, fit[c][1] + step_b / longest)
+    return [fit[c] for c in range(classes)]
 
 
 def probabilities(scored: DataFrame, sigmoids: list[tuple[float, float]], raw: str = "rawPrediction") -> DataFrame:
@@ -141,6 +162,39 @@ def probabilities(scored: DataFrame, sigmoids: list[tuple[float, float]], raw: s
     return scored.withColumn("probs", F.when(total > 0, F.transform(each, lambda p: p / total)).otherwise(F.array(*[F.lit(1.0 / k)] * k)))
 
 
+def probe(data: DataFrame, name: str, columns: list[str]) -> tuple[str, float]:
+    """Macro F1 of a class-balanced logistic model on few columns; ``data`` has pattern_category and side."""
+    from plainsight.operators.sampling import class_weights
+
+    train = data.where("side = 'train'")
+    weighted = train.join(class_weights(train, "pattern_category").select("pattern_category", "weight"), "pattern_category")
+    stages = [
+        StringIndexer(inputCol="pattern_category", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep"),
+        VectorAssembler(inputCols=columns, outputCol="x"),
+        LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", maxIter=30),
+    ]
+    model = Pipeline(stages=stages).fit(weighted)
+    test = model.transform(data.where("side = 'test'").withColumn("weight", F.lit(1.0)))
+    return name, MacroF1("y", "prediction").evaluate(test)
+
+
+def calibrated_on_signals(data: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Held-out rows with ``probs`` and the class names by code: SVM on the signals, sigmoids on a third of train."""
+    shape = Pipeline(stages=[
+        VectorAssembler(inputCols=SIGNALS, outputCol="features"),
+        StringIndexer(inputCol="pattern_category", outputCol="label_code", stringOrderType="alphabetAsc"),
+    ]).fit(data)
+    ready = shape.transform(data).select("row_id", "side", "pattern_category", "features", "label_code")
+    ready = Scratch(data.sparkSession, "signals").save(ready, "ready")
+    third = F.pmod(F.xxhash64("row_id", F.lit(7)), F.lit(3)) == 0
+    fit, hold = ready.where((F.col("side") == "train") & ~third), ready.where((F.col("side") == "train") & third)
+    names = shape.stages[1].labels
+    n = fit.count()
+    svm = linear_svm(1.0, n).fit(sized(fit, n))
+    sigmoids = calibrated(svm.transform(hold), len(names))
+    return probabilities(svm.transform(ready.where("side = 'test'")), sigmoids), names
+
+
 def save(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -49,7 +49,8 @@ def components(edges: DataFrame) -> DataFrame:
 def linked_rows(df: DataFrame, row: str, keys: list[Column]) -> DataFrame:
     """``row`` and ``group`` (least row of its group): rows linked, also over others, by any equal non-blank key."""
     edges = []
-    rows = df.select(F.col(row).alias("r"), *[k.alias(f"k{n}") for n, k in enumerate(keys)])
+    keyed = df.select(F.col(row).alias("r"), *[k.alias(f"k{n}") for n, k in enumerate(keys)])
+    rows = Scratch(df.sparkSession, "linked").save(keyed, "keys")  # keys cost more than reading them again
     for n in range(len(keys)):
         known = rows.select("r", F.col(f"k{n}").alias("k")).where("k is not null and k rlike '\\\\S'")
         least = known.groupBy("k").agg(F.min("r").alias("v"), F.count("*").alias("c")).where("c > 1")

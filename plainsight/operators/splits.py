@@ -16,13 +16,14 @@ def stratified(df: DataFrame, row: str, stratum: str, share: Column | float = 0.
     """``row``, ``stratum`` and ``side``: in every stratum the first ``share`` under a hash order is test.
 
     Positions are counted per (stratum, bucket of the order), so a stratum of any size is spread over tasks;
-    each bucket gives its share, rounded down.
+    each bucket gives its share, rounded by an offset that varies evenly over the buckets.
     """
     order = F.xxhash64(row, F.lit(42)) if order is None else order
     deck = df.select(row, stratum, order.alias("_o")).withColumn("_b", F.pmod("_o", F.lit(buckets)))
     w = Window.partitionBy(stratum, "_b")
     at = F.row_number().over(w.orderBy("_o", row))
-    side = F.when(at <= F.floor(F.count("*").over(w) * share), "test").otherwise("train")
+    offset = (F.col("_b") * 0.6180339887498949) % 1.0
+    side = F.when(at <= F.floor(F.count("*").over(w) * share + offset), "test").otherwise("train")
     return deck.select(row, stratum, side.alias("side"))
 
 
@@ -78,6 +79,29 @@ def covered_fold(folds: DataFrame, label: str = "y", fold: str = "fold") -> int:
     )
 
 
+def template_aware(df: DataFrame, row: str, group: str, label: str, k: int = 5) -> DataFrame:
+    """``row`` and ``side``: test is the first fold of ``k`` group-safe ones that holds every class.
+
+    Where no fold holds all of them, the one with most classes is test.
+    """
+    folds = grouped_folds(df, row, group, label, k).join(df.select(row, F.col(label).alias("y")), row)
+    chosen = covered_fold(folds.where("y is not null"))
+    return folds.select(row, F.when(F.col("fold") == chosen, "test").otherwise("train").alias("side"))
+
+
+def content_hash(df: DataFrame, row: str, columns: list[str]) -> DataFrame:
+    """One row: a digest of the columns' values in order of ``row``, and the number of rows.
+
+    Every row's digest includes its place (its id), and the digests add up, so the sum is the same in every
+    layout but changes when two rows trade places. It combines before the shuffle and needs no sort.
+    """
+    cells = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    line = F.sha2(F.concat_ws("\x1f", F.col(row).cast("string"), *cells), 256)
+    part = F.conv(F.substr(line, F.lit(1), F.lit(15)), 16, 10).cast("decimal(20,0)")
+    total = F.coalesce(F.sum(part).cast("decimal(38,0)").cast("string"), F.lit("0"))
+    return df.agg(F.sha2(total, 256).alias("content_sha256"), F.count("*").alias("n_rows"))
+
+
 def validate_split(split: DataFrame, rows: DataFrame, row: str, group: str = "group", side: str = "side") -> None:
     """Raise unless the split covers the rows once each and tears no group apart."""
     if split.groupBy(row).agg(F.count_distinct(side).alias("c")).where("c > 1").head(1):

@@ -10,7 +10,7 @@ from plainsight import constants as C
 from plainsight.functions import labels, scoring, text
 from plainsight.functions.signals import signals, with_signals
 from plainsight.operators import codes, components, corpus, describe, metrics, sampling, scaling, splits, terms
-from plainsight.session import spread, table
+from plainsight.session import Scratch, spread, table
 
 QUERIES: dict = {}
 
@@ -251,7 +251,7 @@ def _(s, d):
 with o as (select row_id, pattern_category, (row_id * 2654435761) % 4294967296 as o from features),
 b as (select *, o % 16 as b from o)
 select row_id, pattern_category, case when row_number() over (partition by pattern_category, b order by o, row_id)
-  <= floor(count(*) over (partition by pattern_category, b) * 0.2) then 'test' else 'train' end as side from b""")
+  <= floor(count(*) over (partition by pattern_category, b) * 0.2::double + (b * 0.6180339887498949::double) % 1.0::double) then 'test' else 'train' end as side from b""")
 def _(s, d):
     order = (F.col("row_id") * 2654435761) % 4294967296
     return splits.stratified(_features(s, d), "row_id", "pattern_category", 0.2, order, 16)
@@ -263,6 +263,43 @@ def _(s, d):
     return splits.grouped_folds(g, "row_id", "group", "pattern_category")
 
 
+@query("template_split_leaks", None)
+def _(s, d):
+    """Leaks of the group-safe split: no group is shared."""
+    g = _groups(s, d).join(_features(s, d).select("row_id", "pattern_category"), "row_id")
+    side = splits.template_aware(g, "row_id", "group", "pattern_category")
+    splits.validate_split(side, g, "row_id")
+    return splits.leak_count(side.join(g, "row_id"))
+
+
+@query("content_hash", """
+with l as (select sha256(concat_ws(chr(31), row_id::varchar, coalesce('=' || page_id, '-'), coalesce('=' || text, '-'), coalesce('=' || label, '-'), coalesce('=' || pattern_category, '-'))) as h from features)
+select sha256(coalesce(sum(('0x' || h[1:15])::bigint)::hugeint, 0)::varchar) as content_sha256, count(*) as n_rows from l""")
+def _(s, d):
+    return splits.content_hash(_features(s, d), "row_id", ["page_id", "text", "label", "pattern_category"])
+
+
+@query("leak_report", f"""{SQL_SKEL}, sp as (select distinct row_id, case when split_name = 'train' then 'train' else 'test' end as side from split_plan),
+bg as (select skeleton, count(*) as n, count_if(side = 'train') as t, count_if(side = 'test') as e from sk left join sp using (row_id) group by skeleton)
+select (select count(*) from features) as n_rows, (select count(distinct pattern_category) from features) as n_classes, count(*) as total_clusters,
+  count_if(n > 1) as multi_row_clusters, count_if(t > 0 and e > 0) as cross_split_clusters, coalesce(sum(case when t > 0 and e > 0 then e end), 0)::bigint as leaked_test_rows,
+  round(100 * sum(case when t > 0 and e > 0 then e end) / nullif(sum(e), 0), 9) as leaked_test_pct from bg""")
+def _(s, d):
+    """One row of the audit: clusters, and what the plan in use leaks across its sides."""
+    sp = table(s, d, "split_plan").select("row_id", F.when(F.col("split_name") == "train", "train").otherwise("test").alias("side")).distinct()
+    by = _skeletons(s, d).join(sp, "row_id", "left").groupBy("skeleton").agg(
+        F.count("*").alias("n"), F.count_if(F.col("side") == "train").alias("t"), F.count_if(F.col("side") == "test").alias("e")
+    )
+    torn = (F.col("t") > 0) & (F.col("e") > 0)
+    hit = F.sum(F.when(torn, F.col("e")))
+    clusters = by.agg(
+        F.count("*").alias("total_clusters"), F.count_if(F.col("n") > 1).alias("multi_row_clusters"), F.count_if(torn).alias("cross_split_clusters"),
+        F.coalesce(hit, F.lit(0)).alias("leaked_test_rows"), F.round(F.try_divide(100 * hit, F.sum("e")), 9).alias("leaked_test_pct"),
+    )
+    whole = _features(s, d).agg(F.count("*").alias("n_rows"), F.count_distinct("pattern_category").alias("n_classes"))
+    return whole.crossJoin(clusters)  # one row each
+
+
 @query("source_groups_shared", SQL_GROUPS + """
 sp as (select distinct row_id, case when split_name = 'train' then 'train' else 'test' end as side from split_plan),
 bg as (select c, count_if(side = 'train') as t, count_if(side = 'test') as e from g join sp using (row_id) group by c)
@@ -522,12 +559,41 @@ def _(s, d):
     )
     data = data.join(folds, "row_id")
     fitted = models.featurizer().fit(data)
-    ready = fitted.transform(data).select("row_id", "fold", "pattern_category", "features", "label_code").cache()
+    ready = fitted.transform(data).select("row_id", "fold", "features", "label_code")
+    ready = Scratch(s, "svm").save(ready, "ready")
     train, test = ready.where("fold <> 0"), ready.where("fold = 0")
-    model = models.linear_svm(1.0, train.count()).fit(train)
+    n = train.count()
+    model = models.linear_svm(1.0, n).fit(models.sized(train, n))
     return metrics.summary(model.transform(test).select(F.col("label_code").alias("y"), F.col("prediction").alias("p")))
 
 
+@query("probe_scores", None)
+def _(s, d):
+    """Macro F1 that a balanced logistic model reaches from currency signs alone, and from text length alone."""
+    from plainsight.ml import models
+
+    f = _features(s, d).where("text is not null and pattern_category is not null").select("row_id", "text", "pattern_category")
+    t = F.col("text")
+    f = f.select("row_id", "pattern_category", t.contains("$").cast("double").alias("dollar"), t.contains("₹").cast("double").alias("rupee"), F.length(t).cast("double").alias("length"))
+    side = splits.stratified(f, "row_id", "pattern_category").select("row_id", "side")
+    data = f.join(side, "row_id")
+    rows = [models.probe(data, name, columns) for name, columns in (("currency_symbol", ["dollar", "rupee"]), ("text_length", ["length"]))]
+    return s.createDataFrame(rows, "probe string, macro_f1 double")
+
+
+@query("calibrated_scores", None)
+def _(s, d):
+    """Every held-out row with its leading class, calibrated probability and status, from a model on signals."""
+    from plainsight.ml import models
+
+    f = _recomputed(s, d).where("pattern_category is not null")
+    side = splits.stratified(f, "row_id", "pattern_category").select("row_id", "side")
+    scored, names = models.calibrated_on_signals(f.join(side, "row_id"))
+    name = F.element_at(F.array(*[F.lit(c) for c in names]), scoring.argmax(F.col("probs")) + 1)
+    top = F.array_max("probs")
+    return scored.select("row_id", name.alias("label"), top.alias("score"), scoring.status(name, top).alias("status"))
+
+
 # --- ranking and pivots on the star tables ---------------------------------------------------------------------------
 
 

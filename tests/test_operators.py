@@ -209,3 +209,53 @@ def test_streaming_screens(spark, sf, tmp_path):
         run.awaitTermination(120)
     assert spark.table("screened").count() == src.count()
     assert 0 < spark.table("first").count() <= src.count()
+
+
+def test_content_hash_follows_order(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "row_id long, t string")
+    b = spark.createDataFrame([(2, "x"), (1, "y"), (3, None)], a.schema)
+    h = [splits.content_hash(d, "row_id", ["t"]).first()[0] for d in (a, a.repartition(3), b, a.na.fill("-"))]
+    assert h[0] == h[1] and len({h[0], h[2], h[3]}) == 3
+
+
+def test_calibration_is_monotone(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    from plainsight.ml import models
+
+    rng = random.Random(4)
+    rows = []
+    for _ in range(400):
+        y = rng.randrange(3)
+        rows.append(([rng.gauss(2.0 if c == y else -1.0, 1.5) for c in range(3)], y))
+    df = spark.createDataFrame(rows, "m array<double>, label_code int").select(array_to_vector("m").alias("rawPrediction"), "label_code")
+    fit = models.calibrated(df, 3)
+    assert all(a > 0 for a, _ in fit)
+    got = models.probabilities(df, fit).select("probs", "label_code").collect()
+    assert all(abs(sum(r["probs"]) - 1) < 1e-9 for r in got)
+    assert sum(max(range(3), key=lambda c: r["probs"][c]) == r["label_code"] for r in got) > 280
+
+
+def test_selection_over_folds(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    from plainsight.ml import models
+
+    rng = random.Random(2)
+    rows = [(k, [rng.gauss(3 * (k % 3 == c), 1) for c in range(3)], float(k % 3), k % 2) for k in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, x array<double>, label_code double, fold int")
+    data = df.select("row_id", array_to_vector("x").alias("features"), "label_code")
+    ranked = models.best_c(data, df.select("row_id", "fold"), "row_id", (0.5, 2.0))
+    assert len(ranked) == 2 and ranked[0][1] >= ranked[1][1] > 0.5
+
+
+def test_windowed_stream(spark, sf, tmp_path):
+    from plainsight.streaming import screens
+
+    src = spark.read.parquet(f"{sf}/features.parquet").select("text", "source", F.col("loaded_at").cast("timestamp").alias("loaded_at"))
+    src.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(src.schema).parquet(str(tmp_path / "in"))
+    out = screens.windowed_signals(stream, "urgency_kw_count")
+    run = out.writeStream.format("memory").queryName("windows").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert spark.table("windows").where("n_signal > n").count() == 0

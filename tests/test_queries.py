@@ -26,3 +26,4 @@ def test_queries_without_oracle_run(spark, sf):
     n = spark.read.parquet(f"{sf}/features.parquet").count()
     assert q["grouped_folds"](spark, sf).count() == n
     assert q["power_scaled"](spark, sf).count() == n
+    assert q["template_split_leaks"](spark, sf).first()["shared_groups"] == 0
