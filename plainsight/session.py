@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +23,22 @@ def local_session(cpus: int = 8, partitions: int | None = None, memory: str = "1
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, once a session, wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_plainsight_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="plainsight-code-")) / "plainsight.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    sc.addPyFile(str(archive))
+    sc._plainsight_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
