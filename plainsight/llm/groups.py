@@ -27,8 +27,9 @@ from plainsight.session import Scratch, spread
 _BLANK = r"(?U)^\s*$"
 
 
-def digest(col: str | Column) -> Column:
-    return F.unhex(F.md5(col))
+def digest(kind: str, col: Column) -> Column:
+    """Pages (p), templates (t) and lone rows (r) never meet, even where their texts are equal."""
+    return F.unhex(F.md5(F.concat(F.lit(kind), col.cast("string"))))
 
 
 def _with_templates(df: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def _with_templates(df: DataFrame) -> DataFrame:
             out = []
             for text in b.column(2).to_pylist():
                 t = template(form) if text is not None and (form := fold(text)).strip() else ""
-                out.append(hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() if t else None)
+                out.append(hashlib.md5(b"t" + t.encode("utf-8", "surrogatepass")).digest() if t else None)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["row_id", "p", "t"])
 
     return spread(df).mapInArrow(run, "row_id long, p binary, t binary")
@@ -56,7 +57,7 @@ class Links:
 
 def links(features: DataFrame, scratch: Scratch) -> Links:
     features = features.where("row_id is not null")
-    page = F.when(~F.col("page_id").rlike(_BLANK), digest("page_id")).alias("p")
+    page = F.when(~F.col("page_id").rlike(_BLANK), digest("p", F.col("page_id"))).alias("p")
     rows = scratch.save(_with_templates(features.select("row_id", page, "text")), "rows")
     on = scratch.save(rows.where("p is not null and t is not null").select("p", "t").distinct(), "on")
     first = scratch.save(on.groupBy("t").agg(F.min("p").alias("m"), F.count("*").alias("n_pages")), "first")
@@ -207,7 +208,7 @@ def group_ids(features: DataFrame) -> DataFrame:
         .where(~F.col("page_id").rlike(_BLANK))
         .groupBy("page_id")
         .agg(F.count("*").alias("n"))
-        .withColumn("p", digest("page_id"))
+        .withColumn("p", digest("p", F.col("page_id")))
     )
     extra = lone.groupBy("p").agg(F.count("*").alias("more"))
     sized = scratch.save(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plainsight.llm.groups import homed_rows, links, spanning_forest
+from plainsight.llm.groups import digest, homed_rows, links, spanning_forest
 from plainsight.session import Scratch
 
 SHARES = {"train": 80, "validation": 10, "test": 10}
@@ -53,7 +53,7 @@ def assigned_splits(features: DataFrame, shares: dict[str, int] = SHARES, seed:
     """
     scratch = Scratch(features.sparkSession, "assign")
     homed, comp, _ = _rooted(features, scratch)
-    alone = F.unhex(F.md5(F.concat(F.lit("row "), F.col("row_id").cast("string"))))
+    alone = digest("r", F.col("row_id"))
     rows = scratch.save(
         homed.withColumn("k", F.coalesce("k", alone))
         .join(comp, "k", "left")

@@ -41,6 +41,7 @@ def features(seed=3, n=160):
         rows.append((i * 7 % 997, page, t, rng.choice(["x", "y", None])))
     rows += [(5001, "hot", None, "x"), (5002, None, "", None), (5003, None, " \t​", "x"), (5004, "p1", "!!!", "y"), (5005, None, "???", None)]
     rows += [(5006, None, "long word " * 20000, "x"), (5007, None, "Long, word " * 20000, "x"), (None, "p2", base[0], "x")]
+    rows += [(5008, None, "A lone text", "x"), (5009, "a lone text", "other words", "x"), (5010, "a lone text", "further words", "x"), (5011, "row 5003", "!", "x")]
     rows.append(rows[0])
     return [(*r, 1, "clash", "clash", "clash") for r in rows]
 
@@ -48,6 +49,7 @@ def features(seed=3, n=160):
 def plan(rows, seed=5):
     rng = random.Random(seed)
     out = [(r[0], rng.choice(["train"] * 3 + ["validation", "test"])) for r in {r[0]: r for r in rows if r[0] is not None}.values() if rng.random() < 0.9]
+    out = [x for x in out if x[0] not in (5008, 5009, 5010)] + [(5008, "test"), (5009, "train"), (5010, "train")]
     return out + out[:5] + [(None, "train"), (999_999, "test"), (4, None)]
 
 
