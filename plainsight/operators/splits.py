@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plainsight.session import Scratch
+
 
 class GateError(AssertionError):
     """A data gate did not hold."""
@@ -40,36 +42,96 @@ def leak_count(df: DataFrame, group: str = "group", side: str = "side") -> DataF
     )
 
 
-def grouped_folds(df: DataFrame, row: str, group: str, label: str, k: int = 5, greedy: int = 2000) -> DataFrame:
-    """``row`` and ``fold``: groups stay whole, classes are spread.
+#: Groups holding more than this share of any class (at most its inverse for each class) are placed one by one.
+LARGE = 0.001
+#: Groups of one class and size band that one task deals.
+DEALT = 200_000
 
-    The ``greedy`` largest groups are placed one by one where the spread of class shares stays least; all
-    smaller groups, which cannot unbalance a fold, go by hash. So the driver holds a bounded table.
-    """
-    rows = df.select(row, F.col(group).alias("g"), F.coalesce(F.col(label).cast("string"), F.lit("")).alias("y"))
-    sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
-    large = sizes.orderBy(F.desc("n"), "g").limit(greedy)
-    counts = rows.join(F.broadcast(large.select("g")), "g").groupBy("g", "y").count().collect()
-    total: dict = {}
-    per: dict = {}
-    for r in counts:
-        per.setdefault(r["g"], {})[r["y"]] = r["count"]
-        total[r["y"]] = total.get(r["y"], 0) + r["count"]
-    classes = sorted(total)
-    whole = np.array([total[y] for y in classes], float)
-    have = np.zeros((k, len(classes)))
-    placed = []
-    for g, c in sorted(per.items(), key=lambda x: (-sum(x[1].values()), x[0])):
-        mine = np.array([c.get(y, 0) for y in classes], float)
-        spread = [((have + np.eye(k)[f][:, None] * mine) / whole).std(axis=0).sum() for f in range(k)]
+
+def _placed(large: list, whole: dict[str, int], k: int) -> tuple[list, np.ndarray]:
+    """Groups (with their counts by class) put, largest first, where the spread of class shares stays least."""
+    at = {y: c for c, y in enumerate(whole)}
+    total = np.array([*whole.values()], float)
+    have, out = np.zeros((k, len(whole))), []
+    for r in sorted(large, key=lambda r: (-r["n"], r["o"], str(r["g"]))):
+        mine = np.zeros(len(whole))
+        for _, y, n in r["mix"]:
+            mine[at[y]] = n
+        spread = [((have + np.eye(k)[f][:, None] * mine) / total).std(axis=0).sum() for f in range(k)]
         best = min(range(k), key=lambda f: (spread[f], have[f].sum(), f))
         have[best] += mine
-        placed.append((g, best))
+        out.append((r["g"], best))
+    return out, have
+
+
+def _lacking(whole: dict[str, int], have: np.ndarray, held: dict, k: int, rounds: int = 200) -> np.ndarray:
+    """Share of each stratum's groups due to each fold, so that every class comes to 1 / k in all of them.
+
+    ``held`` has the rows of a class in the groups of a stratum. The strata are set in turn, each by what its class
+    lacks beside large groups and the present shares of the other strata.
+    """
+    names = [*whole]
+    rows = np.array([[held.get((s, c), 0) for c in names] for s in names], float)
+    due = np.full((len(names), k), 1 / k)
+    for _ in range(rounds):
+        for s, y in enumerate(names):
+            others = rows[:, s] @ due - rows[s, s] * due[s]
+            lacks = np.maximum(whole[y] / k - have[:, s] - others, 0.0)
+            if lacks.sum() > 0:
+                due[s] = lacks / lacks.sum()
+    return due
+
+
+def grouped_folds(df: DataFrame, row: str, group: str, label: str, k: int = 5) -> DataFrame:
+    """``row`` and ``fold``: groups stay whole, every class is spread; all groups count, whatever their number.
+
+    Class totals are over all rows. A group that holds much of any class (LARGE; a bounded number, and of a rare
+    class every group) is placed where the spread of class shares stays least. The others are stratified by the
+    class they hold most of, by share, and by that count's band (powers of two), put in order of their second
+    class and size, and dealt systematically by what each fold still lacks of the class. The driver holds only
+    strata and large groups.
+    """
     spark = df.sparkSession
+    scratch = Scratch(spark, "folds")
+    rows = df.select(row, F.col(group).alias("g"), F.coalesce(F.col(label).cast("string"), F.lit("")).alias("y"))
+    counts = scratch.save(rows.groupBy("g", "y").agg(F.count("*").alias("n")), "counts")
+    whole = {r["y"]: r["n"] for r in counts.groupBy("y").agg(F.sum("n").alias("n")).orderBy("y").collect()}
+    totals = spark.createDataFrame([*whole.items()], "y string, whole long")
+    shares = counts.join(F.broadcast(totals), "y").select("g", F.struct((F.col("n") / F.col("whole")).alias("share"), "y", "n").alias("m"))
+    groups = shares.groupBy("g").agg(F.sum("m.n").alias("n"), F.sort_array(F.collect_list("m"), asc=False).alias("mix"))
+    groups = scratch.save(groups.withColumn("o", F.xxhash64("g", F.lit(42))), "groups")
+    main = F.col("mix")[0]
+    placed, have = _placed(groups.where(main["share"] > LARGE).collect(), whole, k)
+
+    small = groups.where(main["share"] <= LARGE).select(
+        "g", "n", "o", "mix", main["y"].alias("y"), F.floor(F.log2(main["n"])).cast("int").alias("band"),
+        F.coalesce(F.try_element_at("mix", F.lit(2))["y"], F.lit("")).alias("second"),
+    )
+    held = small.select("y", F.explode("mix").alias("m")).groupBy("y", F.col("m.y").alias("c")).agg(F.sum("m.n").alias("n")).collect()
+    edges = {y: [float(x) for x in e.cumsum()[:-1]] for y, e in zip(whole, _lacking(whole, have, {(r["y"], r["c"]): r["n"] for r in held}, k))}
+    strata = small.groupBy("y", "band").count().collect()
+    dealing = spark.createDataFrame([(r["y"], r["band"], 1 + r["count"] // DEALT, edges[r["y"]]) for r in strata], "y string, band int, tasks long, edges array<double>")
+    deck = small.join(F.broadcast(dealing), ["y", "band"]).withColumn("task", F.pmod("o", "tasks"))
+    w = Window.partitionBy("y", "band", "task").orderBy("second", F.desc("n"), "o", "g")
+    offset = F.pmod(F.xxhash64("y", "band", "task", F.lit(42)), F.lit(1 << 20)) / float(1 << 20)
+    at = F.pmod(F.row_number().over(w) * F.lit(0.6180339887498949) + offset, F.lit(1.0))
+    dealt = deck.withColumn("at", at).select("g", F.size(F.filter("edges", lambda e: e <= F.col("at"))).alias("fold"))
     kind = df.schema[group].dataType.simpleString()
-    chosen = spark.createDataFrame(placed, f"g {kind}, chosen int")
-    other = F.pmod(F.xxhash64("g", F.lit(42)), F.lit(k)).cast("int")
-    return rows.join(F.broadcast(chosen), "g", "left").select(F.col(row), F.coalesce("chosen", other).alias("fold"))
+    dealt = dealt.unionByName(spark.createDataFrame(placed, f"g {kind}, fold int")).withColumnRenamed("g", "h")
+    return rows.join(dealt, F.col("g").eqNullSafe(F.col("h"))).select(F.col(row), "fold")
+
+
+def missing_classes(folds: DataFrame, group: str, label: str = "y", fold: str = "fold", k: int = 5) -> DataFrame:
+    """``label``, ``folds`` and ``groups``: classes that fewer than ``k`` folds hold, and how many groups they have."""
+    by = folds.where(F.col(label).isNotNull()).groupBy(label).agg(F.count_distinct(fold).alias("folds"), F.count_distinct(group).alias("groups"))
+    return by.where(F.col("folds") < k)
+
+
+def validate_folds(folds: DataFrame, group: str, label: str = "y", fold: str = "fold", k: int = 5) -> None:
+    """Raise where a class is missing from a fold although it has ``k`` groups or more."""
+    bad = missing_classes(folds, group, label, fold, k).where(F.col("groups") >= k).head(1)
+    if bad:
+        raise GateError(f"class {bad[0][label]} is in {bad[0]['folds']} of {k} folds, though in {bad[0]['groups']} groups")
 
 
 def covered_fold(folds: DataFrame, label: str = "y", fold: str = "fold") -> int:

@@ -139,6 +139,21 @@ def test_grouped_folds_keep_groups(spark):
     assert folds.groupBy("fold").agg(F.count_distinct("y").alias("c")).where("c = 2").count() == 3
 
 
+def test_grouped_folds_deal_all_groups_by_class(spark):
+    # class "rare" lives only in 150 groups of one row, far behind 2,200 groups of two
+    rows = [(k, k // 2, "ab"[k % 2]) for k in range(4400)] + [(10_000 + k, 10_000 + k, "rare") for k in range(150)]
+    rows += [(20_000 + k, 20_000 + k, "many") for k in range(3000)]
+    df = spark.createDataFrame(rows, "r long, g long, y string")
+    folds = splits.grouped_folds(df, "r", "g", "y").join(df, "r")
+    assert folds.count() == len(rows) and folds.groupBy("g").agg(F.count_distinct("fold").alias("c")).where("c > 1").count() == 0
+    for y, n in (("a", 2200), ("rare", 150), ("many", 3000)):
+        held = [r["count"] for r in folds.where(F.col("y") == y).groupBy("fold").count().collect()]
+        assert len(held) == 5 and max(abs(h - n / 5) for h in held) <= max(1, n / 500)
+    splits.validate_folds(folds, "g")
+    with pytest.raises(splits.GateError):
+        splits.validate_folds(folds.where("y <> 'rare' or fold > 0"), "g")
+
+
 def test_split_gates(spark):
     rows = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "row_id long, group long")
     good = spark.createDataFrame([(1, "train"), (2, "train"), (3, "test")], "row_id long, side string")
