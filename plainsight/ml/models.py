@@ -9,35 +9,62 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.feature import HashingTF, IDF, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plainsight.constants import SIGNALS
 from plainsight.functions.text import char_wb_ngrams
+from plainsight.operators import scaling, terms
+from plainsight.operators.codes import numbered
 from plainsight.operators.metrics import MacroF1
 from plainsight.session import Scratch
 
 
-def featurizer(width: int = 1 << 12) -> Pipeline:
-    """Hashed character n-grams by TF-IDF beside the twelve signals, and the label's code in sort order."""
-    return Pipeline(stages=[
-        HashingTF(inputCol="grams", outputCol="tf", numFeatures=width),
-        IDF(inputCol="tf", outputCol="idf", minDocFreq=2),
-        VectorAssembler(inputCols=["idf", *SIGNALS], outputCol="features"),
-        StringIndexer(inputCol="pattern_category", outputCol="label_code", stringOrderType="alphabetAsc", handleInvalid="error"),
-    ])
+def prepared(df: DataFrame, text: str = "text") -> DataFrame:
+    """Rows with text and class; signals without nulls."""
+    return df.where(F.col(text).isNotNull() & F.col("pattern_category").isNotNull()).na.fill(0, SIGNALS)
 
 
-def prepared(df: DataFrame, text: str = "text") -> DataFrame:
-    """Sublinear counts come from the distinct n-grams of a text, repeated 1 + ln(tf) times at most."""
-    return df.where(F.col(text).isNotNull() & F.col("pattern_category").isNotNull()).withColumn("grams", char_wb_ngrams(F.col(text), 2, 5)).na.fill(0, SIGNALS)
+@F.udf(VectorUDT())
+def _sparse(width, cells, beside):
+    at = [c["at"] for c in cells or []]
+    values = [c["w"] for c in cells or []]
+    return Vectors.sparse(width + len(beside), at + [width + k for k in range(len(beside))], values + list(beside))
+
+
+def features(df: DataFrame, train: DataFrame, row: str = "row_id", text: str = "text", size: int = 30_000) -> DataFrame:
+    """``row`` and ``features`` of all rows of ``df``, every parameter fitted on ``train`` only.
+
+    Exact TF-IDF of character n-grams (2 to 6 inside words; the ``size`` most frequent terms of two rows or more,
+    sublinear counts, smoothed idf, length 1) beside the twelve signals (robust scale, then Yeo-Johnson).
+    """
+    scratch = Scratch(df.sparkSession, "features")
+
+    def counts(rows: DataFrame) -> DataFrame:
+        return terms.term_counts(rows, row, char_wb_ngrams(F.col(text), 2, 6))
+
+    seen = scratch.save(counts(train), "counts")
+    known = scratch.save(terms.vocabulary(seen, 2, size).select("term", "df"), "terms")
+    n, width = train.count(), known.count()
+    idf = F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0
+    vocab = numbered(known.select("term", idf.alias("idf")), [F.col("term")], "at").select("term", "idf", F.col("at").cast("int").alias("at"))
+    vocab = scratch.save(vocab, "vocabulary")
+    cell = F.struct("at", ((F.log("tf") + 1.0) * F.col("idf")).alias("w"))
+    cells = counts(df).join(F.broadcast(vocab), "term").groupBy(row).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    norm = F.sqrt(F.aggregate("cells", F.lit(0.0), lambda s, c: s + c["w"] * c["w"]))
+    cells = cells.withColumn("norm", norm).select(row, F.transform("cells", lambda c: F.struct(c["at"].alias("at"), (c["w"] / F.col("norm")).alias("w"))).alias("cells"))
+    robust = scaling.robust_scaled(df.select(row, *SIGNALS), SIGNALS, train)
+    scaled = scaling.power_scaled(robust, SIGNALS, scaling.robust_scaled(train.select(row, *SIGNALS), SIGNALS))
+    beside = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in SIGNALS])
+    return scaled.join(cells, row, "left").select(row, _sparse(F.lit(width), "cells", beside).alias("features"))
 
 
 def linear_svm(c: float = 1.0, rows: int = 1000, features: str = "features", label: str = "label_code") -> OneVsRest:
-    svm = LinearSVC(regParam=1.0 / (c * max(rows, 1)), maxIter=20, tol=1e-3, featuresCol=features, labelCol=label)
+    svm = LinearSVC(regParam=1.0 / (c * max(rows, 1)), maxIter=2000, tol=1e-3, featuresCol=features, labelCol=label)
     return OneVsRest(classifier=svm, featuresCol=features, labelCol=label, parallelism=8)
 
 

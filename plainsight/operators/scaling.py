@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def robust_scaled(df: DataFrame, names: list[str]) -> DataFrame:
-    """(x - median) / interquartile range; a range of 0 divides by 1, so sparse flags keep their values."""
-    q = df.agg(*[F.percentile(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(n) for n in names]).first()
+def robust_scaled(df: DataFrame, names: list[str], on: DataFrame | None = None) -> DataFrame:
+    """(x - median) / interquartile range; a range of 0 divides by 1, so sparse flags keep their values.
+
+    The parameters come from ``on``, where given.
+    """
+    q = (df if on is None else on).agg(*[F.percentile(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(n) for n in names]).first()
 
     def scaled(n: str):
         if q[n] is None:
@@ -54,20 +57,20 @@ def best_lambda(x: np.ndarray, weight: np.ndarray, low: float = -5.0, high: floa
     return (a + b) / 2
 
 
-def power_scaled(df: DataFrame, names: list[str], distinct: int = 10_000) -> DataFrame:
-    """Yeo-Johnson with fitted exponents, then zero mean and unit deviation.
+def power_scaled(df: DataFrame, names: list[str], on: DataFrame | None = None, distinct: int = 10_000) -> DataFrame:
+    """Yeo-Johnson with fitted exponents, then zero mean and unit deviation; fitted on ``on``, where given.
 
     Signals are counts and flags, so each column has few distinct values; a column with more than
     ``distinct`` of them is fitted on that many quantiles instead.
     """
-    out = df
+    out, fit = df, df if on is None else on
     for n in names:
-        values = df.where(F.col(n).isNotNull()).groupBy(n).count().limit(distinct + 1).collect()
+        values = fit.where(F.col(n).isNotNull()).groupBy(n).count().limit(distinct + 1).collect()
         if len(values) <= distinct:
             x = np.array([float(r[n]) for r in values])
             w = np.array([float(r["count"]) for r in values])
         else:
-            x = np.array(df.approxQuantile(n, [(k + 0.5) / 1000 for k in range(1000)], 1e-4))
+            x = np.array(fit.approxQuantile(n, [(k + 0.5) / 1000 for k in range(1000)], 1e-4))
             w = np.ones(len(x))
         order = np.argsort(x)
         x, w = x[order], w[order]

@@ -549,18 +549,20 @@ def _(s, d):
 
 @query("svm_macro_f1", None)
 def _(s, d):
-    """Held-out macro F1 of the calibrated SVM on the first fold of a group-safe split."""
+    """Held-out macro F1 of the SVM (not calibrated) on the first fold of a group-safe split."""
+    from pyspark.ml.feature import StringIndexer
+
     from plainsight.ml import models
 
     f = _recomputed(s, d)
-    data = models.prepared(f)
     folds = splits.grouped_folds(
         _groups(s, d).join(f.select("row_id", "pattern_category"), "row_id"), "row_id", "group", "pattern_category"
     )
-    data = data.join(folds, "row_id")
-    fitted = models.featurizer().fit(data)
-    ready = fitted.transform(data).select("row_id", "fold", "features", "label_code")
-    ready = Scratch(s, "svm").save(ready, "ready")
+    scratch = Scratch(s, "svm")
+    data = scratch.save(models.prepared(f).join(folds, "row_id"), "data")
+    coded = StringIndexer(inputCol="pattern_category", outputCol="label_code", stringOrderType="alphabetAsc").fit(data).transform(data)
+    ready = models.features(data, data.where("fold <> 0")).join(coded.select("row_id", "fold", "label_code"), "row_id")
+    ready = scratch.save(ready, "ready")
     train, test = ready.where("fold <> 0"), ready.where("fold = 0")
     n = train.count()
     model = models.linear_svm(1.0, n).fit(models.sized(train, n))

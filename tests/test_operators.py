@@ -264,6 +264,24 @@ def test_selection_over_folds(spark):
     assert len(ranked) == 2 and ranked[0][1] >= ranked[1][1] > 0.5
 
 
+def test_features_are_exact_and_fitted_on_train(spark):
+    from collections import Counter
+
+    from plainsight.ml import models
+
+    texts = ["buy buy now", "buy later", "now or later", "unseen zzz now"]
+    rows = [(k, x, *[(k + c) % 3 for c in range(12)]) for k, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "row_id long, text string, " + ", ".join(f"{c} int" for c in SIGNALS))
+    got = {r["row_id"]: r["features"].toArray() for r in models.features(df, df.where("row_id < 3")).collect()}
+    grams = [Counter(p[i : i + n] for w in x.split() for p in [f" {w} "] for n in range(2, 7) for i in range(len(p) - n + 1)) for x in texts]
+    seen = Counter(g for c in grams[:3] for g in c)
+    vocab = sorted(g for g, c in seen.items() if c >= 2)
+    for k, c in enumerate(grams):
+        w = np.array([(1 + math.log(c[g])) * (math.log(4 / (1 + seen[g])) + 1) if c[g] else 0.0 for g in vocab])
+        assert len(got[k]) == len(vocab) + 12 and np.allclose(got[k][:-12], w / np.linalg.norm(w))
+    assert np.allclose(np.mean([got[k][-12:] for k in range(3)], axis=0), 0)
+
+
 def test_windowed_stream(spark, sf, tmp_path):
     from plainsight.streaming import screens
 
