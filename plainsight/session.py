@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 import zipfile
@@ -52,32 +54,59 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def _checkpoint_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where none is set (local runs)."""
+    """spark.checkpoint.dir of the session. Only a local session may do without: its one machine holds every task."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="plainsight-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+#: Folders of this driver's scratch tables that still exist.
+_kept: list[Scratch] = []
+
+
 class Scratch:
     """Written tables that cut lineage, in the shared checkpoint folder.
 
-    A written table survives the loss of any executor, is computed once and is columnar and compressed.
+    A written table survives the loss of any executor, is computed once and is columnar and compressed. A result
+    reads them as long as it lives; ``release`` deletes those of all results, and so does the end of the driver.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{_checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+        _kept.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later plan reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(f"{self.root}/{name}")
+
+    def close(self) -> None:
+        self._delete(self.root)
+        if self in _kept:
+            _kept.remove(self)
+
+
+def release() -> None:
+    """Delete the scratch tables of all results so far; none of them can be read afterwards."""
+    for scratch in [*_kept]:
+        try:
+            scratch.close()
+        except Exception:  # the session has ended: the folder goes with its owner's clean-up
+            _kept.remove(scratch)
+
+
+atexit.register(release)
