@@ -4,6 +4,9 @@ Canonical records are range-partitioned and sorted by (key, id), so a run of cop
 where it spans partitions: no key, however hot, has to fit one task. The scan compares full keys. Only the
 run a partition begins with can continue an earlier one; two summary rows a partition settle those.
 
+Records are first collapsed by their words in order; labelled fields then link classes of one set of fields in
+different orders, and linked classes take the least representative of their component.
+
 Defined cases: null and blank texts are no record and take no part; texts of punctuation alone have the
 empty key and are copies of each other; a repeated row counts once; rows without an id are ignored.
 """
@@ -16,26 +19,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plainsight.llm.forms import copy_key, fold
+from plainsight.llm.forms import copy_keys, fold
+from plainsight.operators.components import components
 from plainsight.session import Scratch, spread
 
 
 def _keyed(df: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
-            ids, keys = [], []
+            ids, keys, fields = [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 form = fold(t)
                 if form.strip():
                     ids.append(i)
-                    keys.append(copy_key(form))
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], names=["row_id", "key"])
+                    key, field = copy_keys(form)
+                    keys.append(key)
+                    fields.append(field)
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(fields, pa.string())], names=["row_id", "key", "fields"])
 
-    return spread(df).mapInArrow(run, "row_id long, key string")
+    return spread(df).mapInArrow(run, "row_id long, key string, fields string")
 
 
-_RUNS = "row_id long, least long, lead int, key string, summary boolean"
-_NAMES = ["row_id", "least", "lead", "key", "summary"]
+_RUNS = "row_id long, least long, lead int, key string, fields string, summary boolean"
+_NAMES = ["row_id", "least", "lead", "key", "fields", "summary"]
 
 
 def _scan_runs(batches):
@@ -45,9 +51,9 @@ def _scan_runs(batches):
     first: tuple | None = None
     leading = True
 
-    def rows(ids, least, lead, keys, summary):
+    def rows(ids, least, lead, keys, fields, summary):
         return pa.record_batch(
-            [pa.array(ids, pa.int64()), pa.array(least, pa.int64()), pa.array(lead, pa.int32()), pa.array(keys, pa.string()), pa.array(summary, pa.bool_())],
+            [pa.array(ids, pa.int64()), pa.array(least, pa.int64()), pa.array(lead, pa.int32()), pa.array(keys, pa.string()), fields, pa.array(summary, pa.bool_())],
             names=_NAMES,
         )
 
@@ -59,11 +65,12 @@ def _scan_runs(batches):
         if len(ids) > 1:
             starts[1:] = pc.not_equal(keys[1:], keys[:-1]).to_pylist()
         starts[0] = keys[0].as_py() != last_key
-        kept, least, lead, heads = [], [], [], []
+        kept, least, lead, heads, at = [], [], [], [], []
         for k, (i, new) in enumerate(zip(ids, starts)):
             if not new and i == last_id:
                 continue  # the row is repeated
             kept.append(i)
+            at.append(k)
             last_id = i
             if new:
                 if first is None:
@@ -77,11 +84,11 @@ def _scan_runs(batches):
                 heads.append(None)
             least.append(last_least)
             lead.append(part if leading else None)
-        yield rows(kept, least, lead, heads, [False] * len(kept))
+        yield rows(kept, least, lead, heads, b.column(2).take(pa.array(at, pa.int64())), [False] * len(kept))
     if first is not None:
         edges = [first] if leading else [first, (last_key, last_least)]
         n = len(edges)
-        yield rows([None] * n, [e[1] for e in edges], [part, None][:n], [e[0] for e in edges], [True] * n)
+        yield rows([None] * n, [e[1] for e in edges], [part, None][:n], [e[0] for e in edges], pa.nulls(n, pa.string()), [True] * n)
 
 
 def copy_runs(features: DataFrame, scratch: Scratch) -> DataFrame:
@@ -103,10 +110,16 @@ def copy_runs(features: DataFrame, scratch: Scratch) -> DataFrame:
         .select("lead", "settled")
     )  # one row a partition
     rows = runs.where("not summary").join(F.broadcast(settled), "lead", "left")
-    rep = F.coalesce("settled", "least")
-    return rows.select(
-        "row_id", rep.alias("rep"), F.when(F.col("row_id") == rep, F.col("key")).alias("key")
-    )
+    rows = rows.select("row_id", F.coalesce("settled", "least").alias("rep"), "key", "fields")
+    rep = F.col("rep")
+    orders = rows.where("fields is not null").select("fields", "rep").distinct()
+    least = orders.groupBy("fields").agg(F.min("rep").alias("v"), F.max("rep").alias("most")).where("v < most")
+    links = scratch.save(orders.join(least, "fields").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct(), "links")
+    if links.head(1):
+        roots = components(links).select(F.col("u").alias("rep"), "root")
+        rows = rows.join(roots, "rep", "left")
+        rep = F.coalesce("root", "rep")
+    return rows.select("row_id", rep.alias("rep"), F.when(F.col("row_id") == rep, F.col("key")).alias("key"))
 
 
 def copy_pairs(features: DataFrame) -> DataFrame:

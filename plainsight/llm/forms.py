@@ -241,9 +241,12 @@ def _fields(low: str) -> list[str] | None:
     return out
 
 
-def copy_key(form: str) -> str:
-    """Equal for copies: the words in order; for labelled fields, the set of fields in byte order."""
+def copy_keys(form: str) -> tuple[str, str | None]:
+    """The words in order; and, for labelled fields, their set in byte order.
+
+    Copies agree in either, directly or over further texts: a line break that only formatting put in may make
+    fields of a text whose other copies have none.
+    """
     low = form.lower()
-    if ":" in low and (fields := _fields(low)):
-        return "\x1e" + "\x1f".join(sorted(set(fields)))
-    return " ".join(_WORD.findall(low))
+    fields = _fields(low) if ":" in low else None
+    return " ".join(_WORD.findall(low)), fields and "\x1f".join(sorted(set(fields)))

@@ -4,7 +4,7 @@ import collections
 import itertools
 import random
 
-from plainsight.llm.forms import copy_key, fold, words
+from plainsight.llm.forms import copy_keys, fold, words
 from plainsight.llm.skeletons import template
 
 SCHEMA = "row_id long, page_id string, text string, source string, rep long, key string, k string, form string"
@@ -42,6 +42,8 @@ def features(seed=3, n=160):
     rows += [(5001, "hot", None, "x"), (5002, None, "", None), (5003, None, " \t​", "x"), (5004, "p1", "!!!", "y"), (5005, None, "???", None)]
     rows += [(5006, None, "long word " * 20000, "x"), (5007, None, "Long, word " * 20000, "x"), (None, "p2", base[0], "x")]
     rows += [(5008, None, "A lone text", "x"), (5009, "a lone text", "other words", "x"), (5010, "a lone text", "further words", "x"), (5011, "row 5003", "!", "x")]
+    rows += [(5020, None, "Colour: Kalo Miru\nPlan: Tesan, Colour Vodi", "x"), (5021, None, "Colour: Kalo Miru Plan: Tesan, Colour Vodi", "y"), (5022, None, "Plan: Tesan Colour Vodi; Colour: Kalo Miru", None)]
+    rows += [(5023, None, "plan tesan colour: vodi | colour: kalo miru", "x"), (5024, None, "Plan: A; A note", "x"), (5025, None, "A note; Plan: A", "x"), (5026, None, "no", "x"), (5027, None, "no no", "x")]
     rows.append(rows[0])
     return [(*r, 1, "clash", "clash", "clash") for r in rows]
 
@@ -59,16 +61,28 @@ def live(rows):
 
 
 def copies(rows):
-    by = collections.defaultdict(list)
+    """Least row to all rows of its class: united by the words in order and by the set of labelled fields."""
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
     for i, f in live(rows).items():
-        by[copy_key(f)].append(i)
-    return by
+        for k in enumerate(copy_keys(f)):
+            if k[1] is not None:
+                parent[find(i)] = find(k)
+    by = collections.defaultdict(list)
+    for i in live(rows):
+        by[find(i)].append(i)
+    return {min(v): v for v in by.values()}
 
 
 def near(rows):
     forms = live(rows)
     sets = {i: set(words(f)) for i, f in forms.items()}
-    keys = {i: copy_key(f) for i, f in forms.items()}
+    keys = {i: k for k, v in copies(rows).items() for i in v}
     return {
         (a, b)
         for a, b in itertools.combinations(sorted(sets), 2)

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plainsight.llm import passages, pii, tokens
-from plainsight.llm.forms import copy_key, default_folder, fold, look_alike_classes, words
+from plainsight.llm.forms import copy_keys, default_folder, fold, look_alike_classes, words
 
 SETTINGS = settings(max_examples=150, deadline=None)
 TEXT = st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("aеｅ𝐞é́​ ­　 \n:;|Kк1２")), max_size=40)
@@ -38,9 +38,11 @@ def test_frequencies_choose_among_unplain_members():
 
 
 def test_copy_keys():
-    assert copy_key(fold("Act  NOW!")) == copy_key(fold("act now"))
-    assert copy_key("Plan: A b; Size: c") == copy_key("size:C |  plan: a, B")
-    assert copy_key("Plan: A; A note") != copy_key("A note; Plan: A")
+    assert copy_keys(fold("Act  NOW!")) == copy_keys(fold("act now")) == ("act now", None)
+    a, b = copy_keys("Plan: A b; Size: c"), copy_keys("size:C |  plan: a, B")
+    assert a[0] != b[0] and a[1] == b[1]
+    assert copy_keys("Plan: A; A note")[1] is None
+    assert copy_keys("Plan: A\nSize: b")[0] == copy_keys("Plan A Size b")[0]  # fields in one spelling only
     assert words(fold("Ｏnly ३ left_now")) == ["only", "३", "left", "now"]
 
 
