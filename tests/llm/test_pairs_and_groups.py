@@ -1,5 +1,8 @@
+import collections
 import itertools
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,18 +47,71 @@ def test_one_hot_key_over_all_partitions(spark):
     assert pairs(copies.copy_pairs(df)) == {(0, i) for i in range(1, 500)}
 
 
-@pytest.mark.parametrize("hot, held", [(1000, 200_000), (8, 200_000), (8, 0)])
-def test_near(feats, monkeypatch, hot, held):
-    monkeypatch.setattr(prefixes, "HOT", hot)
-    monkeypatch.setattr(prefixes, "COMMON", 3)
-    monkeypatch.setattr(near, "signatures", lambda sets: prefixes.signatures(sets, held))
+@pytest.mark.parametrize("group, held", [(64, 200_000), (2, 200_000), (2, 0)])
+def test_near(feats, monkeypatch, group, held):
+    monkeypatch.setattr(prefixes, "GROUP", group)
+    monkeypatch.setattr(prefixes, "HELD", held)
     assert pairs(near.near_pairs(feats)) == X.near(ROWS)
 
 
+def _candidates(sets, group):
+    """Pairs that share a signature and pass the position filter, the rows of signatures, and the pairs joined."""
+    flat, off = np.array([w for s in sets for w in s], np.int64), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    count = collections.Counter(flat.tolist())
+    df = np.array([c if (c := count[w]) > group else 0 for w in flat.tolist()], np.int64)
+    by, n = collections.defaultdict(list), np.diff(off)
+    for parts in prefixes.batch_signatures(flat, off, df, len(sets), group):
+        for sig, *x in zip(*(p.tolist() for p in parts)):
+            by[sig].append(x)
+    met = [(x, y) for v in by.values() for x, y in itertools.combinations(v, 2) if x[0] != y[0] and not (x[2] and y[2])]
+    fit = {(min(a, b), max(a, b)) for (a, p, _), (b, q, _) in met if 7 * min(n[a] - p, n[b] - q) >= 3 * (n[a] + n[b])}
+    return fit, sum(map(len, by.values())), len(met)
+
+
+@pytest.mark.parametrize("words, low, high", [(6, 1, 6), (12, 3, 12), (200, 8, 40), (30, 28, 70), (12, 60, 150)])
+@pytest.mark.parametrize("group", [1, 4, 1000])
+def test_signatures_lose_no_pair(words, low, high, group):
+    rng = random.Random(words * low)
+
+    def drawn(n):
+        s = set()
+        while len(s) < n:
+            s.add(int(max(words, 2 * n) * rng.random() ** 3) * 7919 + 13)
+        return s
+
+    sets = []
+    for _ in range(50):
+        sets.append(s := drawn(rng.randint(low, high)))
+        for _ in range(2):
+            t = set(s)
+            for _ in range(rng.randint(0, max(1, len(s) // 4))):
+                t = t - {rng.choice(sorted(t))} if rng.random() < 0.5 and len(t) > 1 else t | drawn(1)
+            sets.append(t)
+    want = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
+    found, rows, _ = _candidates(sets, group)
+    assert want <= found
+    assert rows <= sum(40 + 8 * len(s) for s in sets)  # in proportion to the words, however frequent they are
+
+
+def test_candidates_stay_in_proportion():
+    """Sets of one language: ten times the sets, not more candidates a set."""
+    rng = np.random.default_rng(1)
+    share = 1 / np.arange(1, 1001)
+    each = []
+    for n in (600, 6000):
+        sets = [set(rng.choice(1000, rng.integers(8, 18), p=share / share.sum()).tolist()) for _ in range(n)]
+        each.append(_candidates(sets, 16)[2] / n)
+    assert each[1] < 3 * each[0]
+
+
 def test_near_groups(feats):
     keys = {i: min(v) for v in X.copies(ROWS).values() for i in v}
     links = {frozenset((keys[a], keys[b])) for a, b in X.near(ROWS)}
-    want = {(i, k, sum(k in x for x in links)) for i, k in keys.items()}
+    group = {k: k for k in keys.values()}
+    for _ in group:
+        for a, b in map(tuple, links):
+            group[a] = group[b] = min(group[a], group[b])
+    want = {(i, k, sum(k in x for x in links), group[k]) for i, k in keys.items()}
     assert {tuple(r) for r in near.near_groups(feats).collect()} == want
 
 
