@@ -1,9 +1,9 @@
 """Personal information in free text (problem 10): proposals by pattern, checks by validators, scores by context.
 
-Texts are searched in their consistent form, so look-alike letters and invisible characters hide nothing;
-spans are mapped back and cut out of the text as it stands. Every proposal starts from the score of its
-pattern; validators (Luhn, mod 97, Verhoeff, number plans) and words near it raise or lower the score, and
-proposals that reach ``THRESHOLD`` are taken, the earliest and longest first, without overlaps.
+Texts are searched in their consistent form, so look-alike letters and invisible characters hide nothing; spans are
+mapped back and cut out of the text as it stands. Patterns propose spans, validators and the words around them
+score them (``pii_rules``), and proposals that reach the threshold are taken, the surest, earliest and longest
+first, without overlaps. One automaton finds the words that lead up to names, titles and given names.
 
 Defined cases: null text has a null redaction and no findings, empty text an empty one; a piece that occurs
 twice in a document is found once, but masked everywhere.
@@ -11,227 +11,133 @@ twice in a document is found once, but masked everywhere.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plainsight.llm import pii_rules as R
 from plainsight.llm.forms import default_folder
 from plainsight.session import spread
 
-THRESHOLD = 0.5
-#: Characters before and after a proposal in which context words count.
-BEFORE, AFTER = 48, 24
 TYPES = ["email", "phone", "id_number", "street_address", "person_name"]
+#: Masked too, but no type of the query over documents.
+FURTHER = ["card_number", "account_number"]
 
+Span = tuple[int, int, str]
 
-# Digits of a number with its country code, where the plan fixes them.
-_PLAN = {"1": 11, "44": 12, "91": 12, "33": 11, "34": 11}
-
-
-def _planned_end(number: str) -> int:
-    """Where a number with country code ends: groups beyond what its plan allows belong to the next words."""
-    digits = re.sub(r"\D", "", number)
-    most = next((n for code, n in _PLAN.items() if digits.startswith(code)), 15)
-    while sum(c.isdigit() for c in number) > most and (cut := re.search(r"[ .-]+\d+$", number)):
-        number = number[: cut.start()]
-    return len(number)
-
-
-def luhn(digits: str) -> bool:
-    total = 0
-    for k, c in enumerate(reversed(digits)):
-        d = int(c) * (1 + k % 2)
-        total += d - 9 * (d > 9)
-    return total % 10 == 0
-
-
-def mod97(code: str) -> bool:
-    """ISO 13616 check of an account number (country letters first)."""
-    moved = code[4:] + code[:4]
-    return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
-
-
-def verhoeff(digits: str) -> bool:
-    """Check by the dihedral group of order ten."""
-
-    def times(a: int, b: int) -> int:
-        if a < 5:
-            return (a + b) % 5 if b < 5 else 5 + (a + b - 5) % 5
-        return 5 + (a - 5 - b) % 5 if b < 5 else (a - b) % 5
-
-    turn = (1, 5, 7, 6, 2, 8, 3, 0, 9, 4)
-    c = 0
-    for k, ch in enumerate(reversed(digits)):
-        d = int(ch)
-        for _ in range(k % 8):
-            d = turn[d]
-        c = times(c, d)
-    return c == 0
-
-
-def _rx(p: str, flags: int = 0) -> re.Pattern:
-    return re.compile(p, flags)
-
-
-_AT = r"(?:\s?@\s?|\s?[\[({<]\s?at\s?[\])}>]\s?)"
-_DOT_WORD = r"\s?[\[({<]\s?dot\s?[\])}>]\s?"
-_DOT = r"(?:\.|\s?[\[({<]\s?dot\s?[\])}>]\s?)"
-_LABEL = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
-_USER = r"\w(?:[\w%+'-]|\.(?=\w))*"
-EMAIL = _rx(rf"(?<![\w.%+'-]){_USER}(?:{_DOT_WORD}[\w+-]+)*{_AT}{_LABEL}(?:{_DOT}{_LABEL})+(?![\w-])", re.I)
-EMAIL_WORDS = _rx(rf"(?<![\w.%+'-]){_USER}(?:\sdot\s[a-z0-9_+-]+)*\s(?:at)\s{_LABEL}(?:\s(?:dot)\s{_LABEL})+(?![\w-])", re.I)
-
-_SIGN = _rx(r"@|[\[({<]\s?at\s?[\])}>]")
-
-_END = r"(?![\w-]|[.,]\d)"
-#: Shapes of phone numbers by the score they start from; one pass finds them all.
-PHONE_SCORE = {"code": 0.7, "area": 0.7, "ten": 0.6, "trunk": 0.5, "solid": 0.3, "split": 0.2}
-PHONE = _rx(
-    r"(?=[+(\d])(?<![\w+.-])(?:"
-    rf"(?P<code>\+\d{{1,3}}[ .-]?(?:\(0?\d{{1,4}}\)[ .-]?)?\d{{2,5}}(?:[ .-]?\d{{2,6}}){{1,4}}){_END}"
-    rf"|(?P<area>\([2-9]\d{{2}}\)[ .-]?\d{{3}}[ .-]\d{{4}}){_END}"
-    rf"|(?<!\()(?P<ten>[2-9]\d{{2}}(?P<gap>[ .-])\d{{3}}(?P=gap)\d{{4}}){_END}"
-    r"|(?<!\()(?P<trunk>0\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4})(?![\w-]|[ .,]\d{3})"
-    rf"|(?<!\()(?P<solid>0\d{{9,10}}){_END}"
-    rf"|(?<!\()(?P<split>[6-9]\d{{4}}[ -]?\d{{5}}){_END})"
-)
-_PHONE_FOR = _rx(r"\b(?:call|tel|telephone|phone|fone|mobile|cell|whatsapp|sms|rang|ring|reach|number is|contact|fax|dial)\b", re.I)
-_NOT_PERSONAL = _rx(r"\b(?:tracking|order|invoice|batch|build|code|inv|lot|ticket|reference|version|parcel no|sku)\b[^.!?\n]{0,24}$", re.I)
-
-_ID_FOR = _rx(
-    r"\b(?:passport|social security|ssn|tax (?:number|id|no)|taxpayer|identity (?:card|number)|id card|national (?:identity|id|insurance)|"
-    r"driv(?:ing|er'?s?) licen[cs]e|licen[cs]e (?:no|number)|aadhaar|pan\b|nino|personalausweis|dni|nif)", re.I,
-)
-#: Shapes of identity numbers: the score they start from, and the validator that may raise it.
-ID_KIND = {
-    "social": (0.6, None), "triple": (0.1, verhoeff), "tagged": (0.2, None), "digits": (0.1, luhn),
-    "tax": (0.6, None), "licence": (0.6, None), "passport": (0.2, None), "insured": (0.4, None), "account": (0.0, mod97),
-}
-ID = [
-    _rx(
-        r"(?=\d)(?<![\w-])(?:(?P<social>\d{3}-\d{2}-\d{4})|(?P<triple>\d{4}(?P<gap>[ -]?)\d{4}(?P=gap)\d{4})"
-        r"|(?P<tagged>\d{8}-?[a-z])|(?P<digits>\d{9,13}))(?![\w-])"
-    ),
-    _rx(
-        r"(?=[a-z]{1,5}[- ]?\d)(?<![\w-])(?:(?P<tax>[a-z]{5}\d{4}[a-z])|(?P<licence>[a-z]{2}-\d{4}-\d{7})|(?P<passport>[a-z]{1,2}\d{6,8})"
-        r"|(?P<insured>[a-z]{2} ?\d{2} ?\d{2} ?\d{2} ?[a-d])|(?P<account>[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){3,7}(?: ?[a-z0-9]{1,3})?))(?![\w-])"
-    ),
-]  # searched in lower case
-
-_ROAD = r"(?:street|st|road|rd|lane|ln|avenue|ave|drive|dr|close|boulevard|blvd|terrace|crescent|court|ct|way|place|pl|square|sq|marg|gardens|row|parade|grove|hill|mews|walk)"
-_NO = r"\d{1,5}\s?[a-z]?(?:[/-]\d{1,3}[a-z]?)?"
-_NAME = r"[^\W\d_][\w'’-]+"
-#: Shapes of street addresses in lower case: pattern, score, and words one of which must occur.
-STREET = [
-    (_rx(rf"(?=\d)(?<![\w/.,$₹-]){_NO},?\s+(?:{_NAME}\s+){{1,3}}?{_ROAD}\b"), 0.5, ()),
-    (_rx(rf"(?=\d)(?<![\w/.,$₹-]){_NO},?\s+(?:rue|avenue|boulevard|place|chemin|allée|quai|impasse)\s+(?:(?:de la|de l'|de|du|des|d')\s*)?{_NAME}"), 0.6, ("rue", "avenue", "boulevard", "place", "chemin", "allée", "quai", "impasse")),
-    (_rx(rf"(?<![\w])(?:calle|avenida|plaza|paseo|carrera|camino|via|vía)\s+(?:(?:de la|de los|de las|del|de)\s+)?{_NAME},?\s+{_NO}(?![\w/])"), 0.6, ("calle", "avenida", "plaza", "paseo", "carrera", "camino", "via", "vía")),
-    (_rx(rf"(?<![\w'’-])[^\W\d_][\w'’-]*(?:straße|strasse|str\.|weg|gasse|allee|platz|damm|ufer)\s+{_NO}(?![\w/])"), 0.6, ("straße", "strasse", "str.", "weg", "gasse", "allee", "platz", "damm", "ufer")),
-]
-_STREET_FOR = _rx(r"(?:\b(?:live at|lives at|address|addr|sent (?:it )?(?:from|to)|ship (?:it )?to|went to|deliver(?:ed)? (?:it )?to|home|moved to|reside|residing at|old place)\b|=)", re.I)
-_STREET_NOT = _rx(r"\b(?:top|only|took|after|build|batch|the)\s*$", re.I)
-_STREET_NOT_AFTER = _rx(r"^\s*(?:bikes|trip|rage|runner|shoes|of\b|to\b|that\b|for\b)", re.I)
-
-# A name as written: given, initials, family (also double), or family, given.
-_CAP = r"[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ'’]+"
-_UP = r"[A-ZÀ-ÖØ-Þ][A-ZÀ-ÖØ-Þ'’]+"
-_LOW = r"[a-zà-öø-ÿ][a-zà-öø-ÿ'’]+"
-
-
-def _person(w: str, initial: str) -> str:
-    family = rf"{w}(?:-{w})?"
-    return rf"(?:{family},\s+{w}(?:\s+{initial}\.)*|{w}(?:\s+{initial}\.)*\s+{family})(?![\w-])"
-
-
-# Words that lead up to a name, in lower case, and words that follow one.
-LEAD = _rx(
-    r"(?<![^\W_])(?:my name is|i am|spoke (?:to|with)|last week|agent|customer:?|card belongs to|regards,|sincerely,|signed,?|—|"
-    r"name[:=]|(?:mr|mrs|ms|dr|prof)\.|contact(?: person)?:|from:|holder[:=]|dear|sent by|by phone with)\s*"
-)
-TITLE = _rx(r"(?:mr|mrs|ms|miss|dr|prof|herr|frau|señor|señora|sr|sra|mme)\b\.?\s+", re.I)
-_TAILS = ("at the desk", "wrote that", "closed the chat", "who never", "was told to", "signed the form", "told me", "called me", "answered me")
-_TAIL = r"(?=,?\s+(?:at the desk|wrote that|closed the chat|who never|was told to|signed the form|told me|called me|answered me))"
-_TAIL_ANY = rf"(?=(?i:{_TAIL[3:-1]}))"
-PERSONS = [_rx(_person(_CAP, "[A-Z]")), _rx(_person(_UP, "[A-Z]"))]
-FOLLOWED = [_rx(rf"(?<![\w-]){_person(_CAP, '[A-Z]')}{_TAIL}"), _rx(rf"(?<![\w-]){_person(_UP, '[A-Z]')}{_TAIL_ANY}")]
-# all in lower case only where the sentence closes the name off
-PERSON_LOW = _rx(rf"{_person(_LOW, '[a-z]')}(?=[.,;!\n]|\s+(?:at the desk|closed the chat|wrote that)|\s*$)")
-_LOW_LEADS = ("my name is", "spoke to", "agent", "card belongs to", "customer:", "regards,")
-
-
-def _names(text: str, low: str) -> Iterator[tuple[int, int]]:
-    """``low`` is the text in lower case, character by character."""
-    for m in LEAD.finditer(low):
-        at = m.end()
-        if t := TITLE.match(text, at):
-            at = t.end()
-        for rx in PERSONS:
-            if n := rx.match(text, at):
-                yield n.span()
-                break
-        else:
-            if m[0].startswith(_LOW_LEADS) and (n := PERSON_LOW.match(text, at)):
-                yield n.span()
-    if any(x in low for x in _TAILS):
-        for rx in FOLLOWED:
-            for m in rx.finditer(text):
-                yield m.span()
 
+#: What may stand before a cue, all read as a space.
+_EDGES = "\n\r\t\"'“‘«([{<>;|*_/"
 
-Span = tuple[int, int, str]
 
+@lru_cache(1)
+def _cues() -> ahocorasick.Automaton:
+    """Leads of names with their weight, and given names (weight 0), each after a space; leads of letters before one."""
+    a = ahocorasick.Automaton()
+    for name in R.GIVEN:
+        a.add_word(f" {name}", (len(name), 0, 0.0))
+    for weight, words in R.LEADS.items():
+        for w in words:
+            edge = " " if w[-1].isalpha() else ""
+            a.add_word((" " if w[0].isalpha() else "") + w + edge, (len(w), len(edge), weight))
+    a.make_automaton()
+    return a
 
-def _before(text: str, at: int) -> str:
-    return text[max(0, at - BEFORE) : at]
 
+def _person_at(text: str, at: int) -> int | None:
+    for rx in R.PERSONS:
+        if m := rx.match(text, at):
+            return m.end() - 2 * m[0].endswith(("'s", "’s"))
+    return None
 
-def _proposals(text: str) -> Iterator[tuple[float, int, int, str]]:
+
+def _names(text: str, low: str) -> Iterator[tuple[float, int, int]]:
+    """``low`` is the text in lower case, character by character."""
+    best: dict[tuple[int, int], float] = {}
+    line = f" {low} "
+    for c in _EDGES:
+        line = line.replace(c, " ")
+    for last, (n, edge, weight) in _cues().iter(line):
+        end = last - edge
+        start = end - n
+        if weight:
+            at = R.GAP.match(text, end).end()
+            if t := R.TITLE.match(text, at):
+                at = t.end()
+        elif low[end : end + 1].isalnum():
+            continue  # part of a longer word
+        else:
+            at = start
+            # family, given: step back over the comma and the family name
+            head = low[max(0, start - 2) : start].strip()
+            if head == ",":
+                comma = low.rindex(",", 0, start)
+                back = comma
+                while back and (low[back - 1].isalpha() or low[back - 1] in "-\'’"):
+                    back -= 1
+                if back < comma and _person_at(text, back) is not None:
+                    at = back
+        if (e := _person_at(text, at)) is not None and e > (end if not weight else 0):
+            best[at, e] = max(weight, best.get((at, e), 0.0))
+    for (s, e), lead in best.items():
+        yield R.person_score(text, s, e, lead), s, e
+
+
+def _lowered(text: str) -> str:
     low = text.lower()
-    if len(low) != len(text):
-        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
-    if _SIGN.search(low):
-        for m in EMAIL.finditer(text):
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def _proposals(text: str) -> Iterator[tuple[float, int, int, str]]:
+    low = _lowered(text)
+    if R.SIGN.search(low):
+        for m in R.EMAIL.finditer(text):
             yield 0.9, m.start(), m.end(), "email"
     if " dot " in low:
-        for m in EMAIL_WORDS.finditer(text):
+        for m in R.EMAIL_WORDS.finditer(text):
             yield 0.8, m.start(), m.end(), "email"
-    for m in PHONE.finditer(text):
-        shape = next(k for k in PHONE_SCORE if m[k])
-        end = m.start() + (_planned_end(m[0]) if shape == "code" else len(m[0]))
-        lead = _before(text, m.start())
-        s = PHONE_SCORE[shape] + 0.3 * bool(_PHONE_FOR.search(lead)) - 0.7 * bool(_NOT_PERSONAL.search(lead))
+    for m in R.PHONE.finditer(text):
+        shape = next(k for k in R.PHONE_SCORE if m[k])
+        length, fits = R.planned(m[0]) if shape == "code" else (len(m[0]), True)
+        end = m.start() + length
+        lead = text[max(0, m.start() - R.BEFORE) : m.start()]
+        s = R.PHONE_SCORE[shape] + 0.3 * bool(R.PHONE_FOR.search(lead)) - 0.7 * bool(R.NOT_PERSONAL.search(lead)) - 0.6 * (not fits)
+        if shape not in ("code", "area") and R.ID_FOR.search(R.SENTENCE.split(lead)[-1]):
+            s -= 0.4
         if 7 <= sum(c.isdigit() for c in text[m.start() : end]) <= 15:
             yield s, m.start(), end, "phone"
-    for rx in ID:
-        for m in rx.finditer(low):
-            score, check = ID_KIND[next(k for k in ID_KIND if k in rx.groupindex and m[k])]
-            lead = _before(text, m.start())
-            s = score + 0.5 * bool(_ID_FOR.search(lead)) - 0.5 * bool(_NOT_PERSONAL.search(lead))
-            if check is not None and check("".join(c for c in m[0] if c.isalnum()).upper()):
-                s += 0.3
-            yield s, m.start(), m.end(), "id_number"
-    for rx, score, cues in STREET:
-        if cues and not any(c in low for c in cues):
+    for m in R.NUMBER.finditer(low):
+        shape = m.lastgroup if m.lastgroup in ("social", "letter") else "digits"
+        score, kind = R.number_score(shape, m[0], low[max(0, m.start() - R.BEFORE) : m.start()])
+        yield score, m.start(), m.end(), kind
+    for m in R.LETTERED.finditer(low):
+        if m["account"] is not None:
+            if (at := R.account_at(low, m.start())) is not None:
+                yield 0.9, m.start(), at[0], "account_number" if at[1] else "rejected"
             continue
-        for m in rx.finditer(low):
-            lead = _before(text, m.start())
-            s = score + 0.3 * bool(_STREET_FOR.search(lead)) - 0.5 * bool(_STREET_NOT.search(lead))
-            yield s - 0.5 * bool(_STREET_NOT_AFTER.search(text[m.end() : m.end() + AFTER])), m.start(), m.end(), "street_address"
-    for start, end in _names(text, low):
-        yield 0.6, start, end, "person_name"
+        yield R.lettered_score(m.lastgroup, m[0], low[max(0, m.start() - R.BEFORE) : m.start()]), m.start(), m.end(), "id_number"
+    cased = text != low
+    for rx, base, cues in R.STREET:
+        if not cues or any(c in low for c in cues):
+            for m in rx.finditer(low):
+                yield R.street_score(base, text, m.start(), m.end(), cased), m.start(), m.end(), "street_address"
+    for score, start, end in _names(text, low):
+        yield score, start, end, "person_name"
 
 
 def find_spans(form: str) -> list[Span]:
     """Spans (start, end, type) in a consistent form, in order and without overlaps."""
     taken: list[Span] = []
-    best = sorted((x for x in _proposals(form) if x[0] >= THRESHOLD), key=lambda x: (-min(x[0], 0.8), x[1], -x[2]))
+    # an account number comes first: nothing inside it is another number
+    best = sorted((x for x in _proposals(form) if x[0] >= R.THRESHOLD - 1e-9), key=lambda x: (x[3] not in ("account_number", "rejected"), -min(x[0], 0.8), x[1], -x[2]))
     for _, a, b, kind in best:
         if all(b <= s or a >= e for s, e, _ in taken):
             taken.append((a, b, kind))
-    return sorted(taken)
+    return sorted(x for x in taken if x[2] != "rejected")
 
 
 def reduced(piece: str) -> str:
@@ -239,19 +145,25 @@ def reduced(piece: str) -> str:
 
 
 def _spans_of(text: str) -> list[Span]:
-    form, back = default_folder().aligned(text)
-    return [(back[a], back[b], kind) for a, b, kind in find_spans(form)]
+    folder = default_folder()
+    form = folder(text)
+    spans = find_spans(form)
+    if not spans or form == text:
+        return spans
+    _, back = folder.aligned(text)  # only where something was found in a text that changed
+    return [(back[a], back[b], kind) for a, b, kind in spans]
 
 
-def found(docs: DataFrame) -> DataFrame:
+def found(docs: DataFrame, types: list[str] = TYPES) -> DataFrame:
     """``doc_id``, ``pii_type``, ``pii_text``, without repeats within a document."""
+    wanted = frozenset(types)
 
     def run(batches):
         for b in batches:
             ids, kinds, pieces = [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if text:
-                    for kind, piece in sorted({(k, reduced(text[s:e])) for s, e, k in _spans_of(text)}):
+                    for kind, piece in sorted({(k, reduced(text[s:e])) for s, e, k in _spans_of(text) if k in wanted}):
                         ids.append(doc)
                         kinds.append(kind)
                         pieces.append(piece)
@@ -261,7 +173,7 @@ def found(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``text`` with a typed placeholder for every piece."""
+    """``doc_id`` and ``text`` with a typed placeholder for every piece, cards and accounts included."""
 
     def run(batches):
         for b in batches:
