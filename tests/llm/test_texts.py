@@ -116,9 +116,43 @@ def test_passages(spark, monkeypatch, held):
     span = next(r for r in got if (r["doc_id"], r["item_id"]) == (1, 1))
     cut = docs[0][1][span["first_char"] : span["end_char"]]
     assert words(fold(cut))[0] == "w4" and "after" not in cut and "before" not in cut
+    assert sorted(tuple(r) for r in passages.leak_pairs(d, i).collect()) == sorted(brute_passages(docs, items, passages.WINDOW))
     assert passages.leak_pairs(d.limit(0), i).count() == 0 and passages.leak_pairs(d, i.limit(0)).count() == 0
 
 
+def test_each_run_of_a_passage_is_a_span(spark):
+    item = " ".join(f"w{k}" for k in range(40))
+    part = lambda a, b: " ".join(f"W{k}," for k in range(a, b))
+    text = f"{part(0, 12)} something else {part(20, 35)} and {part(3, 11)} no"
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    i = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = sorted(text[r["first_char"] : r["end_char"]] for r in passages.contained_items(d, i).collect())
+    assert got == [part(0, 12)[:-1], part(20, 35)[:-1]]
+
+
+@pytest.mark.parametrize("window", [1, 2, 5, 10])
+def test_matcher_equals_brute_force(window):
+    import random
+
+    rng = random.Random(window)
+    for _ in range(200):
+        v = rng.choice([2, 4, 30])
+        item = [f"w{rng.randrange(v)}" for _ in range(rng.randint(0, 40))]
+        found = [f"w{rng.randrange(v)}" for _ in range(rng.randint(0, 40))]
+        at = rng.randint(0, len(found))
+        found[at:at] = item[rng.randint(0, 20) : rng.randint(0, 40)]
+        grams = {tuple(item[k : k + window]) for k in range(len(item) - window + 1)}
+        covered = [False] * (len(found) + 1)
+        for s in range(len(found) - window + 1):
+            if tuple(found[s : s + window]) in grams:
+                covered[s : s + window] = [True] * window
+        runs = passages.Matcher([(1, " ".join(item))], window).runs(found).get(1, [])
+        mine = [False] * (len(found) + 1)
+        for s, e in runs:
+            mine[s:e] = [True] * (e - s)
+        assert mine == covered and all(a[1] < b[0] for a, b in zip(runs, runs[1:]))
+
+
 def test_checksums():
     assert pii_rules.luhn("4539578763621486") and not pii_rules.luhn("4539578763621487")
     assert pii_rules.mod97("GB82WEST12345698765432") and not pii_rules.mod97("GB82WEST12345698765433")
