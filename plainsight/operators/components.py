@@ -33,17 +33,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``u`` and ``root`` (the least id of its component) for every vertex that is not itself the root."""
     scratch = Scratch(edges.sparkSession, "components")
-    current = scratch.save(edges.where("u <> v").select("u", "v").distinct(), "edges0")
-    mark, step = None, 0
-    while True:
-        step += 1
-        current = scratch.save(_small_star(_large_star(current)), f"edges{step}")
-        if step > 1:
-            scratch.drop(f"edges{step - 1}")
-        now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
-            return current.select("u", F.col("v").alias("root"))
-        mark = tuple(now)
+    marks = {"n": F.count("*"), "s": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    current, mark = scratch.save_counting(edges.where("u <> v").select("u", "v").distinct(), "edges0", **marks)
+    step = 0
+    while mark["n"]:  # without edges nothing is left to do
+        before, step = mark, step + 1
+        current, mark = scratch.save_counting(_small_star(_large_star(current)), f"edges{step}", **marks)
+        scratch.drop(f"edges{step - 1}")
+        if mark == before:
+            break
+    return current.select("u", F.col("v").alias("root"))
 
 
 def linked_rows(df: DataFrame, row: str, keys: list[Column]) -> DataFrame:

@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 
 
 def local_session(cpus: int = 8, partitions: int | None = None, memory: str = "12g") -> SparkSession:
@@ -85,6 +85,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def save_counting(self, df: DataFrame, name: str, **what: Column) -> tuple[DataFrame, Row]:
+        """Save, and the given aggregates of the rows, taken while they are written. A repeated task may count twice."""
+        seen = Observation()
+        saved = self.save(df.observe(seen, *[c.alias(n) for n, c in what.items()]), name)
+        return saved, Row(**seen.get)
+
     def _delete(self, path: str) -> None:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
