@@ -84,7 +84,15 @@ def _contracted(edges: DataFrame, label: DataFrame) -> DataFrame:
     return x.select(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).distinct()
 
 
-def low_diameter_components(edges: DataFrame, scratch: Scratch, beta: float = 0.4, hops: int = 3) -> DataFrame:
+def _arcs(edges: DataFrame, scratch: Scratch, level: int) -> tuple[DataFrame, int]:
+    """Arcs u, v both ways at a cost of 1, every vertex to itself at none; and how many there are."""
+    both = _both_ways(edges).withColumn("cost", F.lit(1.0))
+    stay = both.select("v").distinct().select(F.col("v").alias("u"), "v", F.lit(0.0).alias("cost"))
+    arcs, seen = scratch.save_counting(both.unionByName(stay), f"arcs{level}", n=F.count("*"))
+    return arcs, seen["n"]
+
+
+def low_diameter_components(edges: DataFrame, scratch: Scratch, beta: float = 0.1, hops: int = 4) -> DataFrame:
     """``v`` and its component ``c``, for every vertex with an edge.
 
     Every vertex draws a head start from an exponential distribution (rate ``beta``, by hash of vertex and
@@ -93,13 +101,9 @@ def low_diameter_components(edges: DataFrame, scratch: Scratch, beta: float = 0.
     assignments of all levels are composed at the end, from the last level back.
     """
     levels: list[DataFrame] = []
-    current, level = edges, 0
-    while current.head(1):
-        both = _both_ways(current).withColumn("cost", F.lit(1.0))
-        stay = both.select("v").distinct().select(F.col("v").alias("u"), "v", F.lit(0.0).alias("cost"))
-        arcs = scratch.save(both.unionByName(stay), f"arcs{level}")
-        if level:
-            scratch.drop(f"arcs{level - 1}")
+    arcs, left = _arcs(edges, scratch, 0)
+    while left:
+        level = len(levels)
         unit = (F.pmod(F.xxhash64(F.col("u"), F.lit(level)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
         reach = arcs.select("v", (-F.log(unit) / beta - F.col("cost")).alias("lead"), F.col("u").alias("c"))
         for hop in range(hops):
@@ -109,10 +113,8 @@ def low_diameter_components(edges: DataFrame, scratch: Scratch, beta: float = 0.
             state = reach.groupBy("v").agg(F.max(F.struct("lead", "c")).alias("best")).select("v", "best.lead", "best.c")
         label = scratch.save(state.select("v", "c"), f"level{level}")
         levels.append(label)
-        following = scratch.save(_contracted(current, label), f"between{level}")
-        if level:
-            scratch.drop(f"between{level - 1}")
-        current, level = following, level + 1
+        arcs, left = _arcs(_contracted(arcs.where("u < v"), label), scratch, level + 1)
+        scratch.drop(f"arcs{level}")
     return _composed(levels, edges)
 
 
@@ -131,14 +133,15 @@ def spanning_forest(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, Data
 
     Each round every vertex takes its least incident edge (weights are hashes, ties fall to the edge itself);
     of two vertices that take the same edge the lesser is a root; roots are found by pointer doubling until
-    nothing moves, the chosen edges join the forest, and the graph contracts to the roots.
+    nothing moves (counted while a pass is written), the chosen edges join the forest, and the graph contracts to the roots.
     """
     weight = F.xxhash64("u", "v").alias("w")
     current = edges.select("u", "v", weight, F.col("u").alias("eu"), F.col("v").alias("ev"))
     levels: list[DataFrame] = []
     chosen: list[DataFrame] = []
     level = 0
-    while current.head(1):
+    left = len(current.head(1))
+    while left:
         flipped = current.select(F.col("v").alias("u"), F.col("u").alias("v"), "w", "eu", "ev")
         best = (
             current.unionByName(flipped)
@@ -151,19 +154,17 @@ def spanning_forest(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, Data
         back = best.select(F.col("x").alias("up"), F.col("up").alias("upup"))
         root = F.when((F.col("upup") == F.col("x")) & (F.col("x") < F.col("up")), F.col("x")).otherwise(F.col("up"))
         hooked = best.join(back, "up").select("x", root.alias("c"))
-        step = 0
-        while True:
-            jumped = hooked
-            for _ in range(2):
-                over = jumped.select(F.col("x").alias("c"), F.col("c").alias("cc"))
-                jumped = jumped.join(over, "c").select("x", F.col("cc").alias("c"))
-            hooked = scratch.save(jumped, f"roots{level}_{step}")
+        step, moved = 0, 1
+        while moved:  # each pass doubles twice, and counts what the second time still moved
+            over = hooked.select(F.col("x").alias("c"), F.col("c").alias("cc"))
+            once = hooked.join(over, "c").select("x", F.col("cc").alias("c"))
+            over = once.select(F.col("x").alias("c"), F.col("c").alias("cc"))
+            twice = once.join(over, "c").select("x", "c", "cc")
+            jumped, seen = scratch.save_counting(twice, f"roots{level}_{step}", n=F.count_if(F.col("c") != F.col("cc")))
+            hooked, moved = jumped.select("x", F.col("cc").alias("c")), seen["n"]
             if step:
                 scratch.drop(f"roots{level}_{step - 1}")
             step += 1
-            over = hooked.select(F.col("x").alias("c"), F.col("c").alias("cc"))
-            if not hooked.join(over, "c").where("c <> cc").head(1):
-                break
         label = hooked.select(F.col("x").alias("v"), "c")
         levels.append(label)
         ends = (
@@ -177,7 +178,8 @@ def spanning_forest(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, Data
             .agg(F.min(F.struct("w", "eu", "ev")).alias("b"))
             .select("u", "v", "b.*")
         )
-        following = scratch.save(lighter, f"graph{level}")
+        following, seen = scratch.save_counting(lighter, f"graph{level}", n=F.count("*"))
+        left = seen["n"]
         if level:
             scratch.drop(f"graph{level - 1}")
         current, level = following, level + 1
