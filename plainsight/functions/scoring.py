@@ -28,6 +28,22 @@ def argmax(scores: Column) -> Column:
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
 
+def top_classes(scores: Column, names: list[str], k: int = 5) -> Column:
+    """Names of the ``k`` best scores, best first, ties by place."""
+    pairs = F.transform(scores, lambda x, i: F.struct((-x).alias("s"), i.alias("i")))
+    return F.transform(F.slice(F.array_sort(pairs), 1, k), lambda p: F.element_at(F.array(*[F.lit(n) for n in names]), p["i"] + 1))
+
+
+def classical_status(label: Column) -> Column:
+    """Of a model that never abstains."""
+    return F.when(label == BENIGN, "no textual signal").otherwise("potential")
+
+
+def signal_json() -> Column:
+    """The signals of a row as one JSON object, in contract order."""
+    return F.to_json(F.struct(*SIGNALS))
+
+
 def status(label: Column, score: Column, threshold: float = 0.5) -> Column:
     return F.when(score < threshold, "inconclusive").when(label == BENIGN, "no_signal").otherwise("signal")
 

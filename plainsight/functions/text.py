@@ -99,27 +99,31 @@ def char_wb_ngrams(t: Column, low: int = 2, high: int = 6) -> Column:
 
 
 # Contractions that the tokenizer parts.
-_CONTRACTIONS = {"cannot": "can not", "gonna": "gon na", "wanna": "wan na", "gotta": "got ta", "gimme": "gim me", "lemme": "lem me"}
+CONTRACTIONS = {"cannot": "can not", "gonna": "gon na", "wanna": "wan na", "gotta": "got ta", "gimme": "gim me", "lemme": "lem me"}
 # Words whose noun lemma the suffix rules would miss or spoil.
-_LEMMAS = {
+LEMMAS = {
     "men": "man", "women": "woman", "children": "child", "people": "people", "feet": "foot", "teeth": "tooth", "mice": "mouse",
     "this": "this", "its": "it", "us": "u", "was": "wa", "has": "ha", "as": "a", "is": "is", "yes": "yes", "always": "always",
     "news": "news", "plus": "plus", "less": "le", "unless": "unless", "does": "doe", "bus": "bus", "gas": "gas",
 }
 
 
+#: Endings that are replaced; the last that fits decides.
+LEMMA_RULES = [("([^su])s$", "$1"), ("(ch|sh|x|z|ss)es$", "$1"), ("([a-z]{2})ies$", "$1y"), ("ves$", "ve")]
+
+
 def clean_text(t: Column) -> Column:
     """Lower case, letters with ! and ? only, tokens, noun lemmas by rule (approximate: no dictionary is at hand)."""
     s = _sub(F.lower(t), r"[^a-z\s!?]", "")
-    for word, parts in _CONTRACTIONS.items():
+    for word, parts in CONTRACTIONS.items():
         s = _sub(s, rf"\b{word}\b", parts)
     tokens = F.regexp_extract_all(s, F.lit("([a-z]+|[!?])"), F.lit(1))
-    special = F.create_map(*[F.lit(x) for kv in _LEMMAS.items() for x in kv])
+    special = F.create_map(*[F.lit(x) for kv in LEMMAS.items() for x in kv])
 
     def lemma(w: Column) -> Column:
         ruled = reduce(
             lambda other, rule: F.when(w.rlike(rule[0]), F.regexp_replace(w, rule[0], rule[1])).otherwise(other),
-            [("([^su])s$", "$1"), ("(ch|sh|x|z|ss)es$", "$1"), ("([a-z]{2})ies$", "$1y"), ("ves$", "ve")],
+            LEMMA_RULES,
             w,
         )
         return F.coalesce(F.try_element_at(special, w), ruled)

@@ -1,96 +1,283 @@
-"""Fitted models on Spark ML: features, oversampling, one-against-rest SVM, calibration, selection.
+"""The screening model: features, selection over group-safe folds, calibration, refit and scoring.
 
-Losses and solvers are Spark's, so scores are close to those of other libraries, not equal.
+Vocabularies, document frequencies and scales come from all training rows, wherever they are. The classifier alone is
+fitted on a bounded sample of them (``FIT_ROWS``, by hash), so a fit is one task's work and the fits of a grid of
+folds and costs run beside each other. Scoring covers all rows.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plainsight.constants import SIGNALS
-from plainsight.functions.text import char_wb_ngrams
+from plainsight.functions.text import char_wb_ngrams, word_ngrams
+from plainsight.ml import linear
 from plainsight.operators import scaling, terms
-from plainsight.operators.codes import numbered
+from plainsight.operators.codes import placed_within
 from plainsight.operators.metrics import MacroF1
+from plainsight.operators.sampling import class_weights
 from plainsight.session import Scratch
 
+#: Labelled rows that one classifier is fitted on, about; their products take four bytes each.
+FIT_ROWS = 8_000
 
-def prepared(df: DataFrame, text: str = "text") -> DataFrame:
-    """Rows with text and class; signals without nulls."""
-    return df.where(F.col(text).isNotNull() & F.col("pattern_category").isNotNull()).na.fill(0, SIGNALS)
 
+@dataclass(frozen=True)
+class Recipe:
+    """What a model is made of. ``size`` terms of ``text`` beside the scaled ``numbers``."""
 
-@F.udf(VectorUDT())
-def _sparse(width, cells, beside):
-    at = [c["at"] for c in cells or []]
-    values = [c["w"] for c in cells or []]
-    return Vectors.sparse(width + len(beside), at + [width + k for k in range(len(beside))], values + list(beside))
+    terms: Callable[[Column], Column]
+    text: str
+    size: int
+    numbers: tuple[str, ...] = tuple(SIGNALS)
+    c: float = 1.0
+    balanced: bool = False
+    oversample: bool = True
 
 
-def features(df: DataFrame, train: DataFrame, row: str = "row_id", text: str = "text", size: int = 30_000) -> DataFrame:
-    """``row`` and ``features`` of all rows of ``df``, every parameter fitted on ``train`` only.
+CURRENT = Recipe(lambda t: char_wb_ngrams(t, 2, 6), "text", 30_000)
+# Fixed value: the cost of the older model.
+LEGACY = Recipe(lambda t: word_ngrams(t, 1, 3), "clean_text", 300, c=2.124280213720889, balanced=True)
+KEYWORDS = Recipe(lambda t: word_ngrams(t, 1, 3), "clean_text", 300, numbers=(), oversample=False)
 
-    Exact TF-IDF of character n-grams (2 to 6 inside words; the ``size`` most frequent terms of two rows or more,
-    sublinear counts, smoothed idf, length 1) beside the twelve signals (robust scale, then Yeo-Johnson).
-    """
-    scratch = Scratch(df.sparkSession, "features")
 
-    def counts(rows: DataFrame) -> DataFrame:
-        return terms.term_counts(rows, row, char_wb_ngrams(F.col(text), 2, 6))
+# --- features ------------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Fitted:
+    """Terms with their place and idf, and the scale of every number."""
+
+    vocabulary: list[tuple[str, int, float]]
+    robust: dict[str, tuple[float, float]]
+    power: dict[str, tuple[float, float, float]]
+    recipe: Recipe
+
+    @property
+    def width(self) -> int:
+        return len(self.vocabulary) + len(self.recipe.numbers)
+
 
-    seen = scratch.save(counts(train), "counts")
-    known = scratch.save(terms.vocabulary(seen, 2, size).select("term", "df"), "terms")
-    n, width = train.count(), known.count()
-    idf = F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0
-    vocab = numbered(known.select("term", idf.alias("idf")), [F.col("term")], "at").select("term", "idf", F.col("at").cast("int").alias("at"))
-    vocab = scratch.save(vocab, "vocabulary")
+def counted(df: DataFrame, recipe: Recipe, row: str = "row_id", also: list[str] | None = None) -> DataFrame:
+    """Terms of every row with their counts; ``also`` carries further columns of the row along."""
+    each = df.select(row, *(also or []), F.explode(recipe.terms(F.col(recipe.text))).alias("term"))
+    return each.groupBy(row, *(also or []), "term").agg(F.count("*").alias("tf"))
+
+
+def fit_features(data: DataFrame, counts: DataFrame, recipe: Recipe, flags: list[str]) -> list[Fitted]:
+    """For each of the ``flags`` (columns that mark training rows in both tables) the features fitted on its rows.
+
+    Smoothed idf over the terms of two rows or more, robust scales, then Yeo-Johnson. All parts share the passes.
+    """
+    names = list(recipe.numbers)
+    by = counts.groupBy("term").agg(*[x for f in flags for x in (F.count_if(f).alias(f"df_{f}"), F.coalesce(F.sum(F.when(F.col(f), F.col("tf"))), F.lit(0)).alias(f"n_{f}"))])
+    by = Scratch(data.sparkSession, "terms").save(by, "counts")
+    quarters = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    cells = [F.percentile(F.when(F.col(f), F.col(x)), quarters).alias(f"{k}:{x}") for k, f in enumerate(flags) for x in names]
+    seen = data.agg(*[F.count_if(f).alias(f) for f in flags], *cells).first()
+    robust = [{x: (q[1], (q[2] - q[0]) or 1.0) for x in names if (q := seen[f"{k}:{x}"]) is not None} for k in range(len(flags))]
+    scaled = {f"{k}:{x}": F.when(F.col(f), (F.col(x) - robust[k][x][0]) / robust[k][x][1]) for k, f in enumerate(flags) for x in robust[k]}
+    power = scaling.power_parameters(data.select(*[c.alias(n) for n, c in scaled.items()]), [*scaled]) if scaled else {}
+    out = []
+    for k, f in enumerate(flags):
+        top = by.where(F.col(f"df_{f}") >= 2).orderBy(F.desc(f"n_{f}"), "term").limit(recipe.size)
+        known = sorted((r[0], r[1]) for r in top.select("term", f"df_{f}").collect())  # at most ``size`` rows
+        vocabulary = [(t, at, float(np.log((1.0 + seen[f]) / (1.0 + df)) + 1.0)) for at, (t, df) in enumerate(known)]
+        out.append(Fitted(vocabulary, robust[k], {x: power[f"{k}:{x}"] for x in robust[k] if f"{k}:{x}" in power}, recipe))
+    return out
+
+
+def vectors(df: DataFrame, counts: DataFrame, fitted: list[Fitted], row: str = "row_id") -> DataFrame:
+    """``row``, ``part``, ``idx``, ``val`` under each of the fitted features: sublinear counts by idf, of length 1, then the scaled numbers."""
+    spark = df.sparkSession
+    flat = [(k, *t) for k, f in enumerate(fitted) for t in f.vocabulary]
+    table = spark.createDataFrame(pa.table({n: pa.array([t[i] for t in flat], kind) for i, (n, kind) in enumerate((("part", pa.int32()), ("term", pa.string()), ("at", pa.int32()), ("idf", pa.float64())))}))
     cell = F.struct("at", ((F.log("tf") + 1.0) * F.col("idf")).alias("w"))
-    cells = counts(df).join(F.broadcast(vocab), "term").groupBy(row).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    # the table is bounded by the recipe's size and the parts
+    cells = counts.select(row, "term", "tf").join(F.broadcast(table), "term").groupBy(row, "part").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     norm = F.sqrt(F.aggregate("cells", F.lit(0.0), lambda s, c: s + c["w"] * c["w"]))
-    cells = cells.withColumn("norm", norm).select(row, F.transform("cells", lambda c: F.struct(c["at"].alias("at"), (c["w"] / F.col("norm")).alias("w"))).alias("cells"))
-    robust = scaling.robust_scaled(df.select(row, *SIGNALS), SIGNALS, train)
-    scaled = scaling.power_scaled(robust, SIGNALS, scaling.robust_scaled(train.select(row, *SIGNALS), SIGNALS))
-    beside = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in SIGNALS])
-    return scaled.join(cells, row, "left").select(row, _sparse(F.lit(width), "cells", beside).alias("features"))
+    cells = cells.withColumn("norm", norm).select(row, "part", F.col("cells.at").alias("at"), F.transform("cells", lambda c: c["w"] / F.col("norm")).alias("w"))
+    names = fitted[0].recipe.numbers
+    scales = [(k, len(f.vocabulary), [(*f.robust.get(x, (0.0, 1.0)), *f.power.get(x, (1.0, 0.0, 1.0))) for x in names]) for k, f in enumerate(fitted)]
+    scales = spark.createDataFrame(scales, "part int, base int, scales array<struct<mid: double, width: double, lam: double, mean: double, dev: double>>")
+    rows = df.crossJoin(F.broadcast(scales))  # one row a part
+    raw = F.array(*[F.coalesce(F.col(x), F.lit(0)).cast("double") for x in names]) if names else F.array().cast("array<double>")
+    numbers = F.zip_with(raw, "scales", lambda x, q: (scaling.yeo_johnson((x - q["mid"]) / q["width"], q["lam"]) - q["mean"]) / q["dev"])
+    spots = F.transform("scales", lambda _, i: (F.col("base") + i).cast("int"))
+    none = F.array().cast("array<int>"), F.array().cast("array<double>")
+    return rows.select(row, "part", spots.alias("spots"), numbers.alias("numbers")).join(cells, [row, "part"], "left").select(
+        row, "part", F.concat(F.coalesce("at", none[0]), "spots").alias("idx"), F.concat(F.coalesce("w", none[1]), "numbers").alias("val")
+    )
+
+
+# --- fits in tasks -------------------------------------------------------------------------------------------------
+
+
+def _bounded(df: DataFrame, n: int, row: str = "row_id") -> DataFrame:
+    """About ``FIT_ROWS`` of ``n`` rows, by hash; all of them where there are no more."""
+    return df if n <= FIT_ROWS else df.where(F.pmod(F.xxhash64(row, F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * FIT_ROWS / n))
 
 
-def linear_svm(c: float = 1.0, rows: int = 1000, features: str = "features", label: str = "label_code") -> OneVsRest:
-    svm = LinearSVC(regParam=1.0 / (c * max(rows, 1)), maxIter=2000, tol=1e-3, featuresCol=features, labelCol=label)
-    return OneVsRest(classifier=svm, featuresCol=features, labelCol=label, parallelism=8)
+def _code(names: list[str]) -> Column:
+    return (F.array_position(F.array(*[F.lit(x) for x in names]), F.col("pattern_category")) - 1).cast("int")
 
 
-def sized(df: DataFrame, rows: int, per_task: int = 20_000) -> DataFrame:
-    """Partitions by rows: solvers run hundreds of short jobs, and tasks of a few rows only cost time."""
-    return df.coalesce(max(1, -(-rows // per_task)))
+def _weights(rows: linear.Rows, y: np.ndarray, classes: int, width: int, costs: list[float], recipe: Recipe) -> list[np.ndarray]:
+    """Weights for each cost; the costs share the products of the rows."""
+    weight = None
+    if recipe.balanced:
+        weight = len(y) / (classes * np.maximum(np.bincount(y, minlength=classes), 1))
+    products = linear.gram(rows)
+    mix, label = linear.oversampled_mix(products, y) if recipe.oversample else (linear.plain(len(y)), y)
+    return [linear.weights_of(rows, linear.linear_svm(products, mix, label, classes, c, weight), width) for c in costs]
 
 
-def best_c(df: DataFrame, folds: DataFrame, row: str, grid: tuple[float, ...] = (0.5, 1.0, 2.0)) -> list[tuple[float, float, float]]:
-    """(c, mean, deviation) of macro F1 over the folds, best first: mean descending, then deviation ascending."""
-    data = df.join(folds, row)
-    k = folds.agg(F.max("fold")).first()[0] + 1
-    score = MacroF1("label_code", "prediction")
+@dataclass
+class Part:
+    """A fit: the rows it learns from and the rows it scores."""
+
+    train: Column
+    test: Column
+    costs: tuple[float, ...] = (1.0,)
+
+
+def held_out(data: DataFrame, parts: list[Part], names: list[str], recipe: Recipe, row: str = "row_id") -> DataFrame:
+    """``part``, ``c``, ``row``, ``y``, ``margins``: what each part's model says of the rows it has not seen.
+
+    Features are fitted on each part's training rows, all of them; the classifier on a bounded sample, which also
+    bounds the rows that are scored here.
+    """
+    scratch = Scratch(data.sparkSession, "fits")
+    flags = {f"_t{k}": F.coalesce(p.train, F.lit(False)) for k, p in enumerate(parts)}
+    data = scratch.save(data.withColumns({x: F.coalesce(F.col(x), F.lit(0)) for x in recipe.numbers} | flags), "data")
+    counts = scratch.save(counted(data, recipe, row, list(flags)), "counts")
+    fitted = fit_features(data, counts, recipe, list(flags))
+    n = data.count()
+    some = _bounded(data, n, row)
+    vec = vectors(some, _bounded(counts, n, row), fitted, row)
+    roles = [
+        F.struct(F.lit(k).alias("part"), F.when(p.train, True).when(p.test, False).alias("train"), F.array(*[F.lit(float(c)) for c in p.costs]).alias("costs"))
+        for k, p in enumerate(parts)
+    ]
+    sides = some.select(row, _code(names).alias("y"), F.explode(F.array(*roles)).alias("r")).select(row, "y", "r.*").where("train is not null")
+    many = scratch.save(sides.join(vec, [row, "part"]), "vectors")
+    widths = [f.width for f in fitted]
+    scratch.drop("counts")
+    classes = len(names)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        learn, score = pdf[pdf["train"]], pdf[~pdf["train"]]
+        part, costs = int(pdf["part"].iloc[0]), [*map(float, pdf["costs"].iloc[0])]
+        many = _weights(linear.Rows.of([*learn["idx"]], [*learn["val"]]), learn["y"].to_numpy(np.int64), classes, widths[part], costs, recipe)
+        rows = linear.Rows.of([*score["idx"]], [*score["val"]])
+        each = [pd.DataFrame({"part": part, "c": c, row: score[row].to_numpy(), "y": score["y"].to_numpy(), "margins": [*linear.margins(rows, w)]}) for c, w in zip(costs, many)]
+        return pd.concat(each)
+
+    kind = data.schema[row].dataType.simpleString()
+    # one task a fit: adaptive execution would put small inputs of many fits into one
+    many = many.repartition(4 * len(parts), "part")
+    return scratch.save(many.groupBy("part").applyInPandas(fit, f"part int, c double, {row} {kind}, y int, margins array<double>"), "margins")
+
+
+def leading(margins: Column) -> Column:
+    return (F.array_position(margins, F.array_max(margins)) - 1).cast("int")
+
+
+def macro_f1(confusion: list[tuple[int, int, int]]) -> float:
+    """Of (true, predicted, rows): mean F1 over the union of labels."""
+    labels = {x for y, p, _ in confusion for x in (y, p)}
+    scores = []
+    for v in labels:
+        both = sum(n for y, p, n in confusion if y == v == p)
+        either = sum(n * ((y == v) + (p == v)) for y, p, n in confusion)
+        scores.append(2 * both / either if either else 0.0)
+    return sum(scores) / len(scores) if scores else 0.0
+
+
+def class_names(data: DataFrame) -> list[str]:
+    return [r[0] for r in data.select("pattern_category").distinct().orderBy("pattern_category").collect()]
+
+
+def selected_cost(data: DataFrame, names: list[str], recipe: Recipe = CURRENT, grid: tuple[float, ...] = (0.5, 1.0, 2.0)) -> list[tuple[float, float, float]]:
+    """(c, mean, deviation) of macro F1 over the folds of ``data``, best first: mean descending, then deviation ascending."""
+    k = data.agg(F.max("fold")).first()[0] + 1
+    parts = [Part(F.col("fold") != f, F.col("fold") == f, grid) for f in range(k)]
+    scored = held_out(data, parts, names, recipe)
+    table: dict[tuple[float, int], list] = {}
+    for r in scored.groupBy("c", "part", "y", leading(F.col("margins")).alias("p")).count().collect():  # folds by classes squared
+        table.setdefault((r["c"], r["part"]), []).append((r["y"], r["p"], r["count"]))
     out = []
     for c in grid:
-        values = []
-        for f in range(k):
-            train, test = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
-            n = train.count()
-            model = linear_svm(c, n).fit(sized(train, n))
-            values.append(score.evaluate(model.transform(test)))
-        mean = sum(values) / k
-        out.append((c, mean, (sum((v - mean) ** 2 for v in values) / k) ** 0.5))
+        values = [macro_f1(v) for (cost, _), v in table.items() if cost == c]
+        out.append((c, float(np.mean(values)), float(np.std(values))))
     return sorted(out, key=lambda x: (-x[1], x[2]))
 
 
+@dataclass
+class Model:
+    names: list[str]
+    fitted: Fitted
+    weights: np.ndarray
+    cost: float = 1.0
+    sigmoids: list[tuple[float, float]] = field(default_factory=list)
+
+
+def fitted_model(data: DataFrame, names: list[str], c: float, recipe: Recipe = CURRENT, row: str = "row_id") -> Model:
+    """A model of all rows of ``data``; where it has folds, sigmoids from the pooled margins of the rows held out of each."""
+    scratch = Scratch(data.sparkSession, "model")
+    data = scratch.save(data.withColumns({x: F.coalesce(F.col(x), F.lit(0)) for x in recipe.numbers}), "data")
+    sigmoids = []
+    if "fold" in data.columns:
+        k = data.agg(F.max("fold")).first()[0] + 1
+        parts = [Part(F.col("fold") != f, F.col("fold") == f, (c,)) for f in range(k)]
+        sigmoids = calibrated(held_out(data, parts, names, recipe, row), len(names))
+    data = data.withColumn("_all", F.lit(True))
+    counts = scratch.save(counted(data, recipe, row, ["_all"]), "counts")
+    fitted = fit_features(data, counts, recipe, ["_all"])[0]
+    n = data.count()
+    some = _bounded(data, n, row)
+    train = some.select(row, _code(names).alias("y")).join(vectors(some, _bounded(counts, n, row), [fitted], row), row)
+    classes, width = len(names), fitted.width
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = _weights(linear.Rows.of([*pdf["idx"]], [*pdf["val"]]), pdf["y"].to_numpy(np.int64), classes, width, [c], recipe)[0]
+        return pd.DataFrame({"w": [w.astype("<f8").tobytes()]})
+
+    blob = train.groupBy("part").applyInPandas(fit, "w binary").first()[0]
+    return Model(names, fitted, np.frombuffer(blob, "<f8").reshape(width + 1, classes), c, sigmoids)
+
+
+def predicted(df: DataFrame, model: Model, row: str = "row_id") -> DataFrame:
+    """``row``, ``margins`` and, of a calibrated model, ``probs`` for every row of ``df``; the weights are broadcast (bounded by terms and classes)."""
+    recipe = model.fitted.recipe
+    vec = vectors(df, counted(df, recipe, row), [model.fitted], row).select(row, "idx", "val")
+    shared = df.sparkSession.sparkContext.broadcast(model.weights)
+    kind = df.schema[row].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            rows = linear.Rows.of(b.column(1).to_pylist(), b.column(2).to_pylist())
+            m = linear.margins(rows, shared.value)
+            yield pa.record_batch([b.column(0), pa.array([*m], pa.list_(pa.float64()))], names=[row, "margins"])
+
+    out = vec.mapInArrow(run, f"{row} {kind}, margins array<double>")
+    return probabilities(out, model.sigmoids) if model.sigmoids else out
+
+
+# --- oversampling on dense vectors ---------------------------------------------------------------------------------
+
+
 def neighbours(df: DataFrame, row: str, vector: str, label: str, k: int = 5, block: int = 512) -> DataFrame:
     """``row``, ``neighbour``, ``place``: the k nearest rows of the same class (exact, Euclidean, ties by id).
 
@@ -98,9 +285,6 @@ def neighbours(df: DataFrame, row: str, vector: str, label: str, k: int = 5, blo
     one task's product of two small matrices and keeps k per row at once; the partial lists then merge. A class
     of any size is spread over its pairs of blocks.
     """
-    import numpy as np
-    import pandas as pd
-
     base = df.select(F.col(row).alias("r"), F.col(label).alias("y"), F.col(vector).cast("array<double>").alias("x"))
     sizes = base.groupBy("y").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     cut = base.join(sizes, "y").withColumn("b", F.pmod(F.xxhash64("r"), F.col("blocks")).cast("int"))
@@ -131,34 +315,41 @@ def neighbours(df: DataFrame, row: str, vector: str, label: str, k: int = 5, blo
 def oversampled(df: DataFrame, row: str, vector: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Every class raised to the largest one: new vectors between a row and one of its k class neighbours.
 
-    ``vector`` is an array of doubles. Classes of one row are copied. New rows have a null ``row``.
+    ``vector`` is an array of doubles. Classes of one row are copied. New rows have a null ``row``; ``base`` and
+    ``other`` are the two rows a vector lies between, and ``u`` its place between them.
     """
     base = df.select(row, label, F.col(vector).cast("array<double>").alias(vector))
     sizes = base.groupBy(label).agg(F.count("*").alias("n"))
-    most = sizes.agg(F.max("n")).first()[0]
+    most = sizes.agg(F.max("n")).first()[0] or 0
     need = sizes.select(label, "n", (F.lit(most) - F.col("n")).alias("need")).where("need > 0")
     minority = base.join(need, label)
-    order = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(row, F.lit(seed)), row)) - 1
-    times = (F.floor(F.col("need") / F.col("n")) + (F.col("_at") < F.col("need") % F.col("n")).cast("int")).cast("int")
-    drawn = minority.withColumn("_at", order).withColumn("_times", times).where("_times > 0")
+    order = F.pmod(F.xxhash64(row, F.lit(seed)), F.lit(1 << 32))
+    placed = placed_within(minority, label, order, row, "_at", "_size")
+    times = F.floor(F.col("need") / F.col("n")) + (F.col("_at") <= F.col("need") % F.col("n")).cast("int")
+    drawn = placed.withColumn("_times", times.cast("int")).where("_times > 0")
     drawn = drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     pick = (F.pmod(F.xxhash64(row, "_copy", F.lit(seed)), F.lit(k)) + 1).cast("int")
     near = neighbours(minority, row, vector, label, k).groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("place", "neighbour"))).alias("near"))
-    paired = drawn.join(near, row, "left").withColumn("_other", F.coalesce(F.try_element_at("near", F.least(pick, F.coalesce(F.size("near"), F.lit(1)))), F.col(row)))
-    other = base.select(F.col(row).alias("_other"), F.col(vector).alias("_v"))
+    paired = drawn.join(near, row, "left").withColumn("other", F.coalesce(F.try_element_at("near", F.least(pick, F.coalesce(F.size("near"), F.lit(1)))), F.col(row)))
+    other = base.select(F.col(row).alias("other"), F.col(vector).alias("_v"))
     u = F.pmod(F.xxhash64(row, "_copy", F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30)
-    mixed = F.zip_with(vector, "_v", lambda a, b: a + F.col("_u") * (b - a))
-    made = paired.join(other, "_other").withColumn("_u", u).select(F.lit(None).cast(df.schema[row].dataType).alias(row), label, mixed.alias(vector))
-    return base.unionByName(made)
+    mixed = F.zip_with(vector, "_v", lambda a, b: a + F.col("u") * (b - a))
+    kind = df.schema[row].dataType
+    made = paired.join(other, "other").withColumn("u", u).select(F.lit(None).cast(kind).alias(row), label, mixed.alias(vector), F.col(row).alias("base"), "other", "u")
+    null = F.lit(None).cast(kind)
+    return base.select(row, label, vector, null.alias("base"), null.alias("other"), F.lit(None).cast("double").alias("u")).unionByName(made)
+
+
+# --- calibration ---------------------------------------------------------------------------------------------------
 
 
-def calibrated(scored: DataFrame, classes: int, label: str = "label_code", raw: str = "rawPrediction", rounds: int = 15) -> list[tuple[float, float]]:
+def calibrated(scored: DataFrame, classes: int, label: str = "y", raw: str = "margins", rounds: int = 15) -> list[tuple[float, float]]:
     """Sigmoid (slope, intercept) per class from held-out margins, by Newton steps over smoothed targets.
 
     One aggregate a round serves all classes, so the rows are read ``rounds`` times however many classes there are.
     """
     spark = scored.sparkSession
-    each = scored.select(F.posexplode(vector_to_array(raw)).alias("c", "m"), F.col(label).cast("int").alias("y"))
+    each = scored.select(F.posexplode(F.col(raw)).alias("c", "m"), F.col(label).cast("int").alias("y"))
     hit = (F.col("y") == F.col("c")).cast("int").alias("hit")
     margins = Scratch(spark, "margins").save(each.select("c", "m", hit), "margins")
     hits = {r["c"]: (r["k"], r["n"]) for r in margins.groupBy("c").agg(F.sum("hit").alias("k"), F.count("*").alias("n")).collect()}
@@ -180,55 +371,62 @@ def calibrated(scored: DataFrame, classes: int, label: str = "label_code", raw:
     return [fit[c] for c in range(classes)]
 
 
-def probabilities(scored: DataFrame, sigmoids: list[tuple[float, float]], raw: str = "rawPrediction") -> DataFrame:
+def probabilities(scored: DataFrame, sigmoids: list[tuple[float, float]], raw: str = "margins") -> DataFrame:
     """Adds ``probs``: sigmoids of the margins, scaled to sum 1; uniform where all vanish."""
-    m = vector_to_array(raw)
+    m = F.col(raw)
     each = F.array(*[1.0 / (1.0 + F.exp(-(m[c] * a + b))) for c, (a, b) in enumerate(sigmoids)])
     total = F.aggregate(each, F.lit(0.0), lambda x, y: x + y)
     k = len(sigmoids)
     return scored.withColumn("probs", F.when(total > 0, F.transform(each, lambda p: p / total)).otherwise(F.array(*[F.lit(1.0 / k)] * k)))
 
 
+# --- probes --------------------------------------------------------------------------------------------------------
+
+
 def probe(data: DataFrame, name: str, columns: list[str]) -> tuple[str, float]:
     """Macro F1 of a class-balanced logistic model on few columns; ``data`` has pattern_category and side."""
-    from plainsight.operators.sampling import class_weights
-
     train = data.where("side = 'train'")
     weighted = train.join(class_weights(train, "pattern_category").select("pattern_category", "weight"), "pattern_category")
     stages = [
         StringIndexer(inputCol="pattern_category", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep"),
         VectorAssembler(inputCols=columns, outputCol="x"),
-        LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", maxIter=30),
+        LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", maxIter=100),
     ]
     model = Pipeline(stages=stages).fit(weighted)
     test = model.transform(data.where("side = 'test'").withColumn("weight", F.lit(1.0)))
     return name, MacroF1("y", "prediction").evaluate(test)
 
 
-def calibrated_on_signals(data: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Held-out rows with ``probs`` and the class names by code: SVM on the signals, sigmoids on a third of train."""
-    shape = Pipeline(stages=[
-        VectorAssembler(inputCols=SIGNALS, outputCol="features"),
-        StringIndexer(inputCol="pattern_category", outputCol="label_code", stringOrderType="alphabetAsc"),
-    ]).fit(data)
-    ready = shape.transform(data).select("row_id", "side", "pattern_category", "features", "label_code")
-    ready = Scratch(data.sparkSession, "signals").save(ready, "ready")
-    third = F.pmod(F.xxhash64("row_id", F.lit(7)), F.lit(3)) == 0
-    fit, hold = ready.where((F.col("side") == "train") & ~third), ready.where((F.col("side") == "train") & third)
-    names = shape.stages[1].labels
-    n = fit.count()
-    svm = linear_svm(1.0, n).fit(sized(fit, n))
-    sigmoids = calibrated(svm.transform(hold), len(names))
-    return probabilities(svm.transform(ready.where("side = 'test'")), sigmoids), names
+def keyword_probe(data: DataFrame, recipe: Recipe = KEYWORDS) -> tuple[str, float]:
+    """The same on TF-IDF of the words alone, fitted on the training side."""
+    from pyspark.ml.functions import array_to_vector
 
+    scratch = Scratch(data.sparkSession, "keywords")
+    data = data.withColumn("_train", F.col("side") == "train")
+    counts = scratch.save(counted(data, recipe, "row_id", ["_train"]), "counts")
+    fitted = fit_features(data, counts, recipe, ["_train"])[0]
+    at = F.map_from_arrays("idx", "val")
+    wide = F.transform(F.sequence(F.lit(0), F.lit(max(fitted.width - 1, 0))), lambda k: F.coalesce(F.try_element_at(at, k), F.lit(0.0)))
+    vec = vectors(data, counts, [fitted]).select("row_id", array_to_vector(wide).alias("words"))
+    ready = scratch.save(data.select("row_id", "side", "pattern_category").join(vec, "row_id"), "ready")
+    return probe(ready, "keyword_only", ["words"])
 
-def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
 
+# --- files ---------------------------------------------------------------------------------------------------------
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+
+def save(spark: SparkSession, model: Model, path: str) -> None:
+    """Vocabulary, scales, weights and sigmoids as one parquet row; the recipe stays in code."""
+    f = model.fitted
+    row = (model.names, f.vocabulary, [(k, *v) for k, v in f.robust.items()], [(k, *v) for k, v in f.power.items()], bytearray(model.weights.astype("<f8").tobytes()), model.cost, model.sigmoids)
+    schema = (
+        "names array<string>, vocabulary array<struct<term: string, at: int, idf: double>>, robust array<struct<name: string, mid: double, width: double>>, "
+        "power array<struct<name: string, lam: double, mean: double, dev: double>>, weights binary, cost double, sigmoids array<struct<slope: double, intercept: double>>"
+    )
+    spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def stacked(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+def load(spark: SparkSession, path: str, recipe: Recipe = CURRENT) -> Model:
+    r = spark.read.parquet(path).first()
+    fitted = Fitted([tuple(x) for x in r["vocabulary"]], {x[0]: (x[1], x[2]) for x in r["robust"]}, {x[0]: tuple(x[1:]) for x in r["power"]}, recipe)
+    return Model(list(r["names"]), fitted, np.frombuffer(bytes(r["weights"]), "<f8").reshape(fitted.width + 1, len(r["names"])), r["cost"], [tuple(x) for x in r["sigmoids"]])

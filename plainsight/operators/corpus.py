@@ -45,9 +45,15 @@ def build_corpus(sources: list[DataFrame], seq: str = "seq") -> DataFrame:
     return keep_first(rows, "key", ["source_rank", seq])
 
 
-def signal_table(corpus: DataFrame, text: str = "text") -> DataFrame:
-    """Corpus columns, the cleaned text and the twelve signals; one projection."""
-    return corpus.dropna(subset=[text]).select("*", clean_text(F.col(text)).alias("clean_text_rebuilt"), *signals(F.col(text)))
+def existing(df: DataFrame, names: list[str]) -> list[str]:
+    """Those of the columns that the table has, in the given order."""
+    return [n for n in names if n in df.columns]
+
+
+def feature_table(rows: DataFrame, head: list[str], text: str = "text") -> DataFrame:
+    """The head's existing columns, the clean text and the twelve signals, all counted anew; rows without text are dropped."""
+    rows = rows.dropna(subset=[text])
+    return rows.select(*existing(rows, head), clean_text(F.col(text)).alias("clean_text"), *signals(F.col(text)))
 
 
 def duplicate_count(df: DataFrame, key) -> DataFrame:

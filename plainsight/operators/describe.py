@@ -6,6 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -23,18 +24,32 @@ def signal_rates(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def described(df: DataFrame, names: list[str]) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles of each column."""
-    stats = df.agg(*[
-        F.struct(
-            F.count(n).alias("count"), F.avg(n).alias("mean"), F.stddev_samp(n).alias("std"), F.min(n).cast("double").alias("min"),
-            F.percentile(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(n).cast("double").alias("max"),
-        ).alias(n)
-        for n in names
-    ])
-    wide = unpivoted(stats, names, "s")
-    return wide.select(
-        "name", "s.count", "s.mean", "s.std", "s.min", F.col("s.q")[0].alias("q25"), F.col("s.q")[1].alias("q50"), F.col("s.q")[2].alias("q75"), "s.max",
+    """Count, mean, sample deviation, extremes and exact quartiles (interpolated) of each column.
+
+    From the counts of distinct values, which combine before the shuffle; a quartile is found by their running sum.
+    """
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("x")) for n in names])).alias("c")).select("c.*")
+    values = cells.where("x is not null").groupBy("name", "x").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("name").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = values.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy("name")))
+
+    def quartile(q: float):
+        at = (F.col("total") - 1) * q
+        below, above = (F.min(F.when(F.col("upto") > f(at), F.col("x"))) for f in (F.floor, F.ceil))
+        part = F.max(at - F.floor(at))
+        return below + (above - below) * part
+
+    total = F.sum("n")
+    mean = F.sum(F.col("n") * F.col("x")) / total
+    stats = ranked.groupBy("name").agg(
+        total.alias("count"), mean.alias("mean"), F.min("x").alias("min"), quartile(0.25).alias("q25"), quartile(0.5).alias("q50"), quartile(0.75).alias("q75"), F.max("x").alias("max"),
     )
+    apart = values.join(F.broadcast(stats.select("name", "mean", "count")), "name").groupBy("name").agg(
+        F.sqrt(F.try_divide(F.sum(F.col("n") * F.pow(F.col("x") - F.col("mean"), 2)), F.max("count") - 1)).alias("std")
+    )
+    all_names = df.sparkSession.createDataFrame([(n,) for n in names], "name string")
+    out = all_names.join(stats, "name", "left").join(apart, "name", "left")
+    return out.select("name", F.coalesce("count", F.lit(0)).alias("count"), "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def correlations(df: DataFrame, names: list[str]) -> DataFrame:

@@ -38,6 +38,19 @@ def class_report(df: DataFrame, true: str = "y", pred: str = "p") -> DataFrame:
     )
 
 
+def report_totals(df: DataFrame, true: str = "y", pred: str = "p") -> DataFrame:
+    """The report's last lines: accuracy, and precision, recall and F1 averaged over labels, plainly and by support."""
+    r = class_report(df, true, pred)
+    hits = df.agg(F.avg((F.col(true) == F.col(pred)).cast("double")).alias("h"), F.count("*").alias("support"))
+    weighed = [F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(c) for c in ("precision", "recall", "f1")]
+    plain = [F.avg(c).alias(c) for c in ("precision", "recall", "f1")]
+    return (
+        hits.select(F.lit("accuracy").alias("label"), F.col("h").alias("precision"), F.col("h").alias("recall"), F.col("h").alias("f1"), "support")
+        .unionByName(r.agg(*plain, F.sum("support").alias("support")).withColumn("label", F.lit("macro avg")))
+        .unionByName(r.agg(*weighed, F.sum("support").alias("support")).withColumn("label", F.lit("weighted avg")))
+    )
+
+
 def summary(df: DataFrame, true: str = "y", pred: str = "p") -> DataFrame:
     """Accuracy, macro F1 over the union of true and predicted labels, and the weighted F1."""
     r = class_report(df, true, pred)

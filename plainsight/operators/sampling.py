@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def random_rows(df: DataFrame, row: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows by hash order: the same ones in every run and layout."""
-    return df.orderBy(F.xxhash64(row, F.lit(seed)), row).limit(n)
+    return df.orderBy(F.md5(F.concat(F.col(row).cast("string"), F.lit(f"-{seed}"))), row).limit(n)
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

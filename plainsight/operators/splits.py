@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plainsight.operators.codes import placed_within
 from plainsight.session import Scratch
 
 
@@ -14,18 +15,14 @@ class GateError(AssertionError):
     """A data gate did not hold."""
 
 
-def stratified(df: DataFrame, row: str, stratum: str, share: Column | float = 0.2, order: Column | None = None, buckets: int = 64) -> DataFrame:
-    """``row``, ``stratum`` and ``side``: in every stratum the first ``share`` under a hash order is test.
+def stratified(df: DataFrame, row: str, stratum: str, share: Column | float = 0.2, order: Column | None = None) -> DataFrame:
+    """``row``, ``stratum`` and ``side``: in every stratum the first ``share`` (rounded half up) under a hash order is test.
 
-    Positions are counted per (stratum, bucket of the order), so a stratum of any size is spread over tasks;
-    each bucket gives its share, rounded by an offset that varies evenly over the buckets.
+    ``order`` is a whole number from 0 to 2**32 - 1; a stratum of any size is spread over tasks.
     """
-    order = F.xxhash64(row, F.lit(42)) if order is None else order
-    deck = df.select(row, stratum, order.alias("_o")).withColumn("_b", F.pmod("_o", F.lit(buckets)))
-    w = Window.partitionBy(stratum, "_b")
-    at = F.row_number().over(w.orderBy("_o", row))
-    offset = (F.col("_b") * 0.6180339887498949) % 1.0
-    side = F.when(at <= F.floor(F.count("*").over(w) * share + offset), "test").otherwise("train")
+    order = F.pmod(F.xxhash64(row, F.lit(42)), F.lit(1 << 32)) if order is None else order
+    deck = placed_within(df.select(row, stratum), stratum, order, row)
+    side = F.when(F.col("place") <= F.floor(F.col("size") * share + 0.5), "test").otherwise("train")
     return deck.select(row, stratum, side.alias("side"))
 
 
@@ -173,3 +170,11 @@ def validate_split(split: DataFrame, rows: DataFrame, row: str, group: str = "gr
     leak = leak_count(split.join(rows.select(row, group), row), group, side).first()
     if leak["shared_groups"]:
         raise GateError(f"{leak['shared_groups']} groups are on both sides")
+
+
+def validate_saved(split: DataFrame, saved_hash: str, rows: DataFrame, row: str, columns: list[str], group: str = "group", side: str = "side") -> None:
+    """A split that was saved beside the hash of its rows: raise where they have changed since, or the split is not valid."""
+    now = content_hash(rows, row, columns).first()["content_sha256"]
+    if now != saved_hash:
+        raise GateError("the split is stale: its rows have changed")
+    validate_split(split, rows, row, group, side)

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from plainsight import constants as C
 from plainsight.functions import labels, scoring, text
 from plainsight.functions.signals import signals, with_signals
-from plainsight.operators import codes, components, corpus, describe, metrics, sampling, scaling, splits, terms
+from plainsight.operators import audit, codes, components, corpus, describe, metrics, sampling, scaling, splits, terms
 from plainsight.session import Scratch, spread, table
 
 QUERIES: dict = {}
@@ -167,9 +167,12 @@ def _(s, d):
     return corpus.relabelled(f).select("row_id", "pattern_category", "label")
 
 
-@query("null_counts", " union all ".join(f"select {_q(c)} as name, count(*) - count({c}) as n_null from features" for c in ["page_id", "text", "label", "pattern_category", "clean_text", "source"]))
+_COLUMNS = ["row_id", "page_id", "text", "label", "pattern_category", "clean_text", *C.SIGNALS, "source", "batch_id", "captured_at", "loaded_at"]
+
+
+@query("null_counts", " union all ".join(f"select {_q(c)} as name, count(*) - count({c}) as n_null from features" for c in _COLUMNS))
 def _(s, d):
-    return describe.null_counts(_features(s, d).select("page_id", "text", "label", "pattern_category", "clean_text", "source"))
+    return describe.null_counts(_features(s, d).select(*_COLUMNS))
 
 
 # --- skeletons, groups, leaks --------------------------------------------------------------------------------------
@@ -248,13 +251,12 @@ def _(s, d):
 
 
 @query("stratified_split", """
-with o as (select row_id, pattern_category, (row_id * 2654435761) % 4294967296 as o from features),
-b as (select *, o % 16 as b from o)
-select row_id, pattern_category, case when row_number() over (partition by pattern_category, b order by o, row_id)
-  <= floor(count(*) over (partition by pattern_category, b) * 0.2::double + (b * 0.6180339887498949::double) % 1.0::double) then 'test' else 'train' end as side from b""")
+with o as (select row_id, pattern_category, (row_id * 2654435761) % 4294967296 as o from features)
+select row_id, pattern_category, case when row_number() over (partition by pattern_category order by o, row_id)
+  <= floor(count(*) over (partition by pattern_category) * 0.2::double + 0.5::double) then 'test' else 'train' end as side from o""")
 def _(s, d):
     order = (F.col("row_id") * 2654435761) % 4294967296
-    return splits.stratified(_features(s, d), "row_id", "pattern_category", 0.2, order, 16)
+    return splits.stratified(_features(s, d), "row_id", "pattern_category", 0.2, order)
 
 
 @query("grouped_folds", None)
@@ -263,13 +265,35 @@ def _(s, d):
     return splits.grouped_folds(g, "row_id", "group", "pattern_category")
 
 
-@query("template_split_leaks", None)
+def _grouped(s, d):
+    return _groups(s, d).join(_features(s, d).select("row_id", "pattern_category"), "row_id")
+
+
+@query("fold_summary", SQL_GROUPS + "k2 as (select row_id, c, pattern_category from g join features using (row_id)) select count(*) as n_rows, count(distinct c) as n_groups, 0::bigint as torn_groups, 5::bigint as n_folds, 0::bigint as missing_classes, 0::bigint as uneven_classes from k2")
 def _(s, d):
-    """Leaks of the group-safe split: no group is shared."""
-    g = _groups(s, d).join(_features(s, d).select("row_id", "pattern_category"), "row_id")
-    side = splits.template_aware(g, "row_id", "group", "pattern_category")
+    """What must hold of the folds: all rows and groups are there, none torn, no class of twenty groups or more misses a
+    fold, and no class of small groups (none above a fiftieth of it) lies further than a fifth from even.
+    """
+    g = _grouped(s, d)
+    f = Scratch(s, "foldcheck").save(splits.grouped_folds(g, "row_id", "group", "pattern_category").join(g, "row_id"), "folds")
+    torn = f.groupBy("group").agg(F.count_distinct("fold").alias("k")).agg(F.count("*").alias("n_groups"), F.count_if(F.col("k") > 1).alias("torn_groups"))
+    missing = splits.missing_classes(f, "group", "pattern_category").where("groups >= 20").agg(F.count("*").alias("missing_classes"))
+    y = F.coalesce("pattern_category", F.lit(""))
+    per = f.groupBy(y.alias("y"), "group").agg(F.count("*").alias("n"), F.first("fold").alias("fold"))
+    whole = per.groupBy("y").agg(F.sum("n").alias("total"), F.max("n").alias("largest"))
+    held = per.groupBy("y", "fold").agg(F.sum("n").alias("n")).join(whole, "y").where("largest * 50 <= total")
+    uneven = held.where(F.abs(F.col("n") * 5 - F.col("total")) > F.col("total") * 0.2).agg(F.count_distinct("y").alias("uneven_classes"))
+    rows = f.agg(F.count("*").alias("n_rows"), F.count_distinct("fold").alias("n_folds"))
+    return rows.crossJoin(torn).crossJoin(missing).crossJoin(uneven)  # one row each
+
+
+@query("template_split_leaks", "select 0::bigint as shared_groups, 0::bigint as leaked_test_rows, count(*) as n_rows from features")
+def _(s, d):
+    """Leaks of the group-safe split, and the rows it covers: no group is shared."""
+    g = _grouped(s, d)
+    side = Scratch(s, "sides").save(splits.template_aware(g, "row_id", "group", "pattern_category"), "sides")
     splits.validate_split(side, g, "row_id")
-    return splits.leak_count(side.join(g, "row_id"))
+    return splits.leak_count(side.join(g, "row_id")).select("shared_groups", "leaked_test_rows").crossJoin(side.agg(F.count("*").alias("n_rows")))  # one row each
 
 
 @query("content_hash", """
@@ -283,7 +307,8 @@ def _(s, d):
 bg as (select skeleton, count(*) as n, count_if(side = 'train') as t, count_if(side = 'test') as e from sk left join sp using (row_id) group by skeleton)
 select (select count(*) from features) as n_rows, (select count(distinct pattern_category) from features) as n_classes, count(*) as total_clusters,
   count_if(n > 1) as multi_row_clusters, count_if(t > 0 and e > 0) as cross_split_clusters, coalesce(sum(case when t > 0 and e > 0 then e end), 0)::bigint as leaked_test_rows,
-  round(100 * sum(case when t > 0 and e > 0 then e end) / nullif(sum(e), 0), 9) as leaked_test_pct from bg""")
+  round(100 * sum(case when t > 0 and e > 0 then e end) / nullif(sum(e), 0), 9) as leaked_test_pct,
+  (select list(n order by n desc, skeleton) from (select skeleton, count(*) as n from sk group by skeleton order by n desc, skeleton limit 5)) as largest_sizes from bg""")
 def _(s, d):
     """One row of the audit: clusters, and what the plan in use leaks across its sides."""
     sp = table(s, d, "split_plan").select("row_id", F.when(F.col("split_name") == "train", "train").otherwise("test").alias("side")).distinct()
@@ -297,7 +322,7 @@ def _(s, d):
         F.coalesce(hit, F.lit(0)).alias("leaked_test_rows"), F.round(F.try_divide(100 * hit, F.sum("e")), 9).alias("leaked_test_pct"),
     )
     whole = _features(s, d).agg(F.count("*").alias("n_rows"), F.count_distinct("pattern_category").alias("n_classes"))
-    return whole.crossJoin(clusters)  # one row each
+    return whole.crossJoin(clusters).crossJoin(audit.largest_clusters(_skeletons(s, d)).select(F.col("largest_clusters.n_rows").alias("largest_sizes")))  # one row each
 
 
 @query("source_groups_shared", SQL_GROUPS + """
@@ -341,6 +366,16 @@ def _(s, d):
     return r.select("label", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
+@query("class_report_totals", SQL_REPORT + """, q as (select coalesce(tp / nullif(claimed, 0), 0) as precision, coalesce(tp / nullif(support, 0), 0) as recall, coalesce(2 * tp / nullif(support + claimed, 0), 0) as f1, support from r),
+a as (select avg((y = p)::int) as h, count(*) as support from yp)
+select 'accuracy' as label, round(h, 9) as precision, round(h, 9) as recall, round(h, 9) as f1, support::bigint as support from a
+union all select 'macro avg', round(avg(precision), 9), round(avg(recall), 9), round(avg(f1), 9), sum(support)::bigint from q
+union all select 'weighted avg', round(sum(precision * support) / sum(support), 9), round(sum(recall * support) / sum(support), 9), round(sum(f1 * support) / sum(support), 9), sum(support)::bigint from q""")
+def _(s, d):
+    r = metrics.report_totals(_predicted(s, d))
+    return r.select("label", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
 @query("macro_f1", SQL_REPORT + ", f as (select coalesce(2 * tp / nullif(support + claimed, 0), 0) as f1, support from r) select round((select avg((y = p)::int) from yp), 9) as accuracy, round(avg(f1), 9) as macro_f1, round(sum(f1 * support) / sum(support), 9) as weighted_f1 from f")
 def _(s, d):
     return metrics.summary(_predicted(s, d)).select(*[F.round(c, 9).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")])
@@ -362,6 +397,12 @@ def _(s, d):
     return r.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
 
 
+@query("describe_signals", f"{SQL_SIG} " + " union all ".join(f"select '{c}' as name, count({c}) as count, round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std, min({c})::double as min, quantile_cont({c}, 0.25)::double as q25, quantile_cont({c}, 0.5)::double as q50, quantile_cont({c}, 0.75)::double as q75, max({c})::double as max from sig" for c in C.SIGNALS))
+def _(s, d):
+    r = describe.described(_recomputed(s, d), C.SIGNALS)
+    return r.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+
+
 @query("correlations", f"{SQL_SIG} " + " union all ".join(f"select {_q(a)} as a, {_q(b)} as b, round(covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0), 6) as r from sig" for i, a in enumerate(C.SIGNALS) for b in C.SIGNALS[i + 1 :]))
 def _(s, d):
     return describe.correlations(_recomputed(s, d), C.SIGNALS).withColumn("r", F.round("r", 6))
@@ -384,15 +425,25 @@ def _(s, d):
     return _features(s, d).agg(F.count_if(t.contains("$")).alias("n_dollar"), F.count_if(t.contains("₹")).alias("n_rupee"))
 
 
-@query("texts_by_category", "select pattern_category, count(distinct text) as n_texts, min(text) as first_text from features where text is not null and pattern_category is not null group by pattern_category")
+@query("texts_by_category", "select distinct pattern_category, text from features where text is not null and pattern_category is not null")
+def _(s, d):
+    """The distinct texts of every class, in long form: a list of a hot class would not fit one row."""
+    return _features(s, d).dropna(subset=["text", "pattern_category"]).select("pattern_category", "text").distinct()
+
+
+@query("example_texts", "select pattern_category, list(text order by text)[1:5] as texts from (select distinct pattern_category, text from features where text is not null and pattern_category is not null) group by pattern_category")
 def _(s, d):
-    f = _features(s, d).dropna(subset=["text", "pattern_category"])
-    return f.groupBy("pattern_category").agg(F.count_distinct("text").alias("n_texts"), F.min("text").alias("first_text"))
+    """The first five distinct texts of every class (a top-k report): each task keeps five a class."""
+    f = _features(s, d).dropna(subset=["text", "pattern_category"]).select("pattern_category", "text").distinct()
+    place = F.row_number().over(Window.partitionBy("pattern_category").orderBy("text"))
+    return f.withColumn("place", place).where("place <= 5").groupBy("pattern_category").agg(F.array_sort(F.collect_list("text")).alias("texts"))
 
 
-@query("top_sources", "select source, n, round(mean, 6) as mean from (select source, count(*) as n, avg(exclamation_count) as mean from features where source is not null group by source) order by n desc, mean, source limit 5")
+@query("top_sources", "select source, n, round(mean, 6) as mean from (select source, count(*) as n, avg(length(coalesce(text, '')) - length(replace(coalesce(text, ''), '!', ''))) as mean from features where source is not null group by source) order by n desc, mean, source limit 5")
 def _(s, d):
-    by = _features(s, d).where("source is not null").groupBy("source").agg(F.count("*").alias("n"), F.avg("exclamation_count").alias("mean"))
+    """The sources of most rows with their mean of exclamation marks, counted anew."""
+    f = _features(s, d).where("source is not null").select("source", *signals(F.col("text")))
+    by = f.groupBy("source").agg(F.count("*").alias("n"), F.avg("exclamation_count").alias("mean"))
     return by.orderBy(F.desc("n"), "mean", "source").limit(5).withColumn("mean", F.round("mean", 6))
 
 
@@ -444,11 +495,34 @@ def _(s, d):
     return terms.vocabulary(terms.term_counts(f, "row_id", text.char_wb_ngrams(F.col("text"))))
 
 
-@query("clean_texts", None)
+def sql_clean(raw: str) -> str:
+    t = f"regexp_replace(lower({raw}), '[^a-z\\s!?]', '', 'g')"
+    for word, parts in text.CONTRACTIONS.items():
+        t = f"regexp_replace({t}, '\\b{word}\\b', {_q(parts)}, 'g')"
+    special = " ".join(f"when w = {_q(k)} then {_q(v)}" for k, v in text.LEMMAS.items())
+    ruled = " ".join(f"when regexp_matches(w, {_q(p)}) then regexp_replace(w, {_q(p)}, {_q(to.replace('$1', chr(92) + '1'))})" for p, to in reversed(text.LEMMA_RULES))
+    return f"array_to_string(list_transform(regexp_extract_all({t}, '[a-z]+|[!?]'), lambda w: case {special} {ruled} else w end), ' ')"
+
+
+@query("clean_texts", f"select row_id, {sql_clean('text')} as clean_text from features where text is not null")
 def _(s, d):
     return _features(s, d).where("text is not null").select("row_id", text.clean_text(F.col("text")).alias("clean_text"))
 
 
+_HEAD = ["row_id", "page_id", "text", "label", "pattern_category"]
+
+
+@query("feature_table", f"select {', '.join(_HEAD)}, {sql_clean('text')} as clean_text, {sql_signals('text')} from features where text is not null")
+def _(s, d):
+    return corpus.feature_table(spread(_features(s, d).select(*_HEAD)), _HEAD)
+
+
+@query("feature_table_ood", f"select ood_id, text, pattern_category, source, url, {sql_clean('text')} as clean_text, {sql_signals('text')} from ood_real_test where text is not null")
+def _(s, d):
+    """Of the collected texts; page and label are optional columns that they lack."""
+    return corpus.feature_table(table(s, d, "ood_real_test"), ["ood_id", *_HEAD, "source", "url"])
+
+
 # --- scaling, weights, scores --------------------------------------------------------------------------------------
 
 
@@ -458,9 +532,32 @@ def _(s, d):
     return scaling.robust_scaled(f, C.SIGNALS).select("row_id", *[F.round(n, 9).alias(n) for n in C.SIGNALS])
 
 
-@query("power_scaled", None)
+def sql_power(raw: str, digits: int) -> str:
+    """Exponents by three grids, each round the best of the one before; the signals are never negative."""
+    y = "case when abs(lam) < 1e-9 then ln(1 + x) else (pow(x + 1, lam) - 1) / lam end"
+    cells = " union all ".join(f"select row_id, {_q(n)} as name, {n}::double as x from sig" for n in C.SIGNALS)
+    sql = f"{raw}, cell as ({cells}), v as (select name, x, count(*) as n from cell group by all), t as (select name, sum(n) as total, count(*) as kinds, sum(n * ln(1 + x)) as logs from v group by name), b0 as (select name, 0.0::double as lam from t)"
+    for k, (reach, step) in enumerate(((500, "1e-2"), (100, "1e-4"), (100, "1e-6"), (100, "1e-8"))):
+        sql += (
+            f", g{k} as (select name, greatest(-5, least(5, lam + i * {step}::double)) as lam from b{k}, range(-{reach}, {reach + 1}) r(i)),"
+            f" y{k} as (select name, lam, n, {y} as y from g{k} join v using (name)),"
+            f" l{k} as (select name, lam, sum(n * y) / sum(n) as mean, sum(n * y * y) / sum(n) as sq from y{k} group by name, lam),"
+            f" b{k + 1} as (select name, arg_max(lam, -total / 2 * ln(sq - mean * mean) + (lam - 1) * logs) as lam from l{k} join t using (name) where sq - mean * mean > 0 group by name)"
+        )
+    final = "select t.name, coalesce(b4.lam, 1.0) as lam from t left join b4 using (name)"
+    wide = ", ".join(f"max(case when name = {_q(n)} then round(z, {digits}) + 0.0 end) as {n}" for n in C.SIGNALS)
+    return (
+        f"{sql}, f as ({final}), ym as (select name, x, n, lam, {y} as y from f join v using (name)),"
+        f" p as (select name, sum(n * y) / sum(n) as mean, sqrt(greatest(sum(n * y * y) / sum(n) - pow(sum(n * y) / sum(n), 2), 0)) as dev from ym group by name),"
+        f" z as (select c.row_id, c.name, (ym.y - p.mean) / case when p.dev = 0 then 1 else p.dev end as z from cell c join ym on ym.name = c.name and ym.x = c.x join p on p.name = c.name)"
+        f" select row_id, {wide} from z group by row_id"
+    )
+
+
+@query("power_scaled", sql_power(SQL_SIG, 3))
 def _(s, d):
-    return scaling.power_scaled(_recomputed(s, d).select("row_id", *C.SIGNALS), C.SIGNALS)
+    f = scaling.power_scaled(_recomputed(s, d).select("row_id", *C.SIGNALS), C.SIGNALS)
+    return f.select("row_id", *[(F.round(n, 3) + 0.0).alias(n) for n in C.SIGNALS])
 
 
 @query("class_weights", "with c as (select pattern_category, count(*) as n from features where pattern_category is not null group by 1) select pattern_category, n, round((select sum(n) from c) / ((select count(*) from c) * n), 9) as weight from c")
@@ -474,11 +571,11 @@ def _(s, d):
     return sampling.dense_histogram(f, "code", 16)
 
 
-SQL_SCORES = "with x as (select vec_id, label, list_transform(embedding[1:14], lambda v: v::double) as z from embeddings), e as (select vec_id, label, list_transform(z, lambda v: exp(v - list_max(z))) as e from x), p as (select vec_id, label, list_transform(e, lambda v: v / list_sum(e)) as p from e), r as (select vec_id, label, p, list_position(p, list_max(p)) - 1 as top, list_max(p) as score from p)"
+SQL_SCORES = "with x as (select vec_id, label, list_transform(embedding, lambda v: v::double) as z from embeddings), e as (select vec_id, label, list_transform(z, lambda v: exp(v - list_max(z))) as e from x), p as (select vec_id, label, list_transform(e, lambda v: v / list_sum(e)) as p from e), r as (select vec_id, label, p, list_position(p, list_max(p)) - 1 as top, list_max(p) as score from p)"
 
 
 def _scored(s, d):
-    z = F.transform(F.slice("embedding", 1, 14), lambda v: v.cast("double"))
+    z = F.transform("embedding", lambda v: v.cast("double"))
     e = table(s, d, "embeddings").select("vec_id", "label", scoring.softmax(z).alias("p"))
     return e.select("*", scoring.argmax(F.col("p")).alias("top"), F.array_max("p").alias("score"))
 
@@ -488,18 +585,65 @@ def _(s, d):
     return _scored(s, d).select("vec_id", "top", F.round("score", 9).alias("score"))
 
 
-@query("result_status", SQL_SCORES + f", n as (select vec_id, ([{', '.join(_q(c) for c in C.CLASSES)}])[top + 1] as label, score from r) select vec_id, case when label = 'Trick Question' then 'Trick Wording (model label: Trick Question)' else label end as shown, case when score < 0.08 then 'inconclusive' when label = 'Not a Dark Pattern' then 'no_signal' else 'signal' end as status from n")
+_VOTES = {c: [n for n, x in _RULE if x == c] for c in C.CLASSES}
+_CLASS_LIST = "[" + ", ".join(_q(c) for c in C.CLASSES) + "]"
+SQL_VOTES = SQL_SIG + ", z as (select row_id, category, [" + ", ".join(f"(2.0 + 2.5 * ({' + '.join(_VOTES[c])}))::double" if _VOTES[c] else ("4.0::double" if c == C.BENIGN else "1.0::double") for c in C.CLASSES) + "] as z from sig), e as (select *, list_transform(z, lambda v: exp(v - list_max(z))) as e from z), p as (select *, list_transform(e, lambda v: v / list_sum(e)) as p from e), r as (select *, list_position(z, list_max(z)) as top, list_max(p) as score from p)"
+
+
+def _voted(s, d):
+    """Scores of the classes from the signals that speak for them, in class order."""
+    f = _recomputed(s, d)
+
+    def score(c):
+        if _VOTES[c]:
+            return F.lit(2.0) + F.lit(2.5) * sum((F.col(n) for n in _VOTES[c]), F.lit(0))
+        return F.lit(4.0 if c == C.BENIGN else 1.0)
+
+    z = f.select("row_id", F.col("pattern_category").alias("category"), F.array(*[score(c) for c in C.CLASSES]).alias("z"))
+    p = z.select("*", scoring.softmax(F.col("z")).alias("p"))
+    return p.select("*", scoring.argmax(F.col("z")).alias("top"), F.array_max("p").alias("score"))
+
+
+def _name(at):
+    return F.element_at(F.array(*[F.lit(c) for c in C.CLASSES]), at + 1)
+
+
+@query("result_status", SQL_VOTES + f", n as (select row_id, ({_CLASS_LIST})[top] as label, score from r) select row_id, case when label = 'Trick Question' then 'Trick Wording (model label: Trick Question)' else label end as shown, case when score < 0.5 then 'inconclusive' when label = 'Not a Dark Pattern' then 'no_signal' else 'signal' end as status, case when label = 'Not a Dark Pattern' then 'no textual signal' else 'potential' end as classical, printf('%.1f%%', 100 * score) as percent from n")
+def _(s, d):
+    v = _voted(s, d)
+    name, score = _name(F.col("top")), F.col("score")
+    return v.select("row_id", scoring.display_label(name).alias("shown"), scoring.status(name, score).alias("status"), scoring.classical_status(name).alias("classical"), scoring.percent(score).alias("percent"))
+
+
+@query("top5_classes", SQL_VOTES + f" select row_id, list_transform(list_sort(list_transform(range(14), lambda i: {{'s': -z[i + 1], 'i': i}}))[1:5], lambda x: ({_CLASS_LIST})[x.i + 1]) as best from r")
 def _(s, d):
-    name = F.element_at(F.array(*[F.lit(c) for c in C.CLASSES]), F.col("top") + 1)
-    return _scored(s, d).select("vec_id", scoring.display_label(name).alias("shown"), scoring.status(name, F.col("score"), 0.08).alias("status"))
+    return _voted(s, d).select("row_id", scoring.top_classes(F.col("z"), C.CLASSES).alias("best"))
 
 
-@query("coverage", SQL_SCORES + " select round(avg((score >= 0.08)::int), 9) as coverage, round(avg(case when score >= 0.08 then (label = top)::int end), 9) as accuracy_covered from r")
+@query("coverage", SQL_VOTES + f" select round(avg((score >= 0.5)::int), 9) as coverage, round(avg(case when score >= 0.5 then (category = ({_CLASS_LIST})[top])::int end), 9) as accuracy_covered from r where category is not null")
 def _(s, d):
-    r = metrics.covered(_scored(s, d), "score", "label", "top", 0.08)
+    v = _voted(s, d).where("category is not null").withColumn("p", _name(F.col("top")))
+    r = metrics.covered(v, "score", "category", "p")
     return r.select(*[F.round(c, 9).alias(c) for c in r.columns])
 
 
+@query("signal_json", SQL_SIG + " select row_id, to_json({" + ", ".join(f"'{n}': {n}" for n in C.SIGNALS) + "})::varchar as signals from sig")
+def _(s, d):
+    return _recomputed(s, d).select("row_id", scoring.signal_json().alias("signals"))
+
+
+@query("category_codes", "select row_id, case when source is null then -1 else dense_rank() over (order by source nulls last) - 1 end as code from features")
+def _(s, d):
+    return codes.category_codes(_features(s, d).select("row_id", "source"), "source").select("row_id", "code")
+
+
+@query("label_outside_domain", "select row_id, label from features where label is not null and label not in (0, 1)")
+def _(s, d):
+    """Labels must be a subset of 0 and 1: no row may come out."""
+    domain = s.createDataFrame([(0,), (1,)], "label int")
+    return _features(s, d).where("label is not null").join(F.broadcast(domain), "label", "left_anti").select("row_id", "label")
+
+
 @query("active_signals", SQL_SIG + " select row_id, coalesce(nullif(concat_ws(', ', " + ", ".join(f"case when {n} <> 0 then {_q(scoring.SIGNAL_NAMES[n] + ' (')} || {n} || ')' end" for n in C.SIGNALS) + f"), ''), {_q(scoring.NO_SIGNALS)}) as active from sig")
 def _(s, d):
     return _recomputed(s, d).select("row_id", scoring.active_signals().alias("active"))
@@ -511,9 +655,10 @@ def _(s, d):
     return _features(s, d).select("row_id", "pattern_category").join(g, "pattern_category", "left").select("row_id", "description", "context")
 
 
-@query("known_classes", "select ood_id, pattern_category from ood_real_test where pattern_category in (select distinct pattern_category from features where label = 1)")
+@query("known_classes", "select ood_id, pattern_category from ood_real_test where pattern_category in (select distinct pattern_category from features where pattern_category is not null)")
 def _(s, d):
-    known = _features(s, d).where("label = 1").select("pattern_category").distinct()
+    """Collected rows of a class that the labelled rows have, so that a model can know it."""
+    known = _features(s, d).select("pattern_category").distinct()
     return table(s, d, "ood_real_test").join(known, "pattern_category", "left_semi").select("ood_id", "pattern_category")
 
 
@@ -535,65 +680,36 @@ def _(s, d):
     return models.neighbours(table(s, d, "embeddings"), "vec_id", "embedding", "label").select("vec_id", "neighbour", F.col("place").cast("int").alias("place"))
 
 
-@query("oversampled_classes", "with c as (select label, count(*) as n from embeddings group by label) select label, (select max(n) from c) as n from c")
-def _(s, d):
-    from plainsight.ml import models
-
-    return models.oversampled(table(s, d, "embeddings"), "vec_id", "embedding", "label").groupBy("label").agg(F.count("*").alias("n"))
-
-
-@query("sampled_rows", None)
-def _(s, d):
-    return sampling.random_rows(_features(s, d).select("row_id", "text"), "row_id", 5)
-
-
-@query("svm_macro_f1", None)
-def _(s, d):
-    """Held-out macro F1 of the SVM (not calibrated) on the first fold of a group-safe split."""
-    from pyspark.ml.feature import StringIndexer
-
-    from plainsight.ml import models
-
-    f = _recomputed(s, d)
-    folds = splits.grouped_folds(
-        _groups(s, d).join(f.select("row_id", "pattern_category"), "row_id"), "row_id", "group", "pattern_category"
-    )
-    scratch = Scratch(s, "svm")
-    data = scratch.save(models.prepared(f).join(folds, "row_id"), "data")
-    coded = StringIndexer(inputCol="pattern_category", outputCol="label_code", stringOrderType="alphabetAsc").fit(data).transform(data)
-    ready = models.features(data, data.where("fold <> 0")).join(coded.select("row_id", "fold", "label_code"), "row_id")
-    ready = scratch.save(ready, "ready")
-    train, test = ready.where("fold <> 0"), ready.where("fold = 0")
-    n = train.count()
-    model = models.linear_svm(1.0, n).fit(models.sized(train, n))
-    return metrics.summary(model.transform(test).select(F.col("label_code").alias("y"), F.col("prediction").alias("p")))
+SQL_NEAR = """
+with x as (select vec_id, label, list_transform(embedding, lambda v: v::double) as e from embeddings),
+n as (select a.vec_id, b.vec_id as neighbour, row_number() over (partition by a.vec_id order by list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), b.vec_id) as place
+  from x a join x b on a.label = b.label and a.vec_id <> b.vec_id)"""
 
 
-@query("probe_scores", None)
+@query("oversampled_classes", SQL_NEAR + """,
+c as (select label, count(*) as n from x group by label), m as (select max(n) as most from c)
+select label, most as n, most - n as n_new, 0::bigint as n_off_line from c, m""")
 def _(s, d):
-    """Macro F1 that a balanced logistic model reaches from currency signs alone, and from text length alone."""
+    """Rows of every class after oversampling, the new ones among them, and those that lie on no line from a row to one
+    of its five neighbours (none may).
+    """
     from plainsight.ml import models
 
-    f = _features(s, d).where("text is not null and pattern_category is not null").select("row_id", "text", "pattern_category")
-    t = F.col("text")
-    f = f.select("row_id", "pattern_category", t.contains("$").cast("double").alias("dollar"), t.contains("₹").cast("double").alias("rupee"), F.length(t).cast("double").alias("length"))
-    side = splits.stratified(f, "row_id", "pattern_category").select("row_id", "side")
-    data = f.join(side, "row_id")
-    rows = [models.probe(data, name, columns) for name, columns in (("currency_symbol", ["dollar", "rupee"]), ("text_length", ["length"]))]
-    return s.createDataFrame(rows, "probe string, macro_f1 double")
+    e = table(s, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    made = models.oversampled(e, "vec_id", "embedding", "label")
+    near = models.neighbours(e, "vec_id", "embedding", "label").select(F.col("vec_id").alias("base"), F.col("neighbour").alias("other"), F.lit(True).alias("linked"))
+    a = e.select(F.col("vec_id").alias("base"), F.col("label").alias("la"), F.col("embedding").alias("a"))
+    b = e.select(F.col("vec_id").alias("other"), F.col("label").alias("lb"), F.col("embedding").alias("b"))
+    whole = made.join(a, "base", "left").join(b, "other", "left").join(near, ["base", "other"], "left")
+    apart = F.aggregate(F.zip_with("embedding", F.zip_with("a", "b", lambda x, y: x + F.col("u") * (y - x)), lambda x, y: F.abs(x - y)), F.lit(0.0), lambda x, y: x + y)
+    fits = F.col("linked") & (F.col("la") == F.col("label")) & (F.col("lb") == F.col("label")) & (F.col("u") >= 0) & (F.col("u") < 1) & (apart < 1e-6)
+    new = F.col("base").isNotNull()
+    return whole.groupBy("label").agg(F.count("*").alias("n"), F.count_if(new).alias("n_new"), F.count_if(new & ~F.coalesce(fits, F.lit(False))).alias("n_off_line"))
 
 
-@query("calibrated_scores", None)
+@query("sampled_rows", "select row_id, text from features order by md5(row_id::varchar || '-42'), row_id limit 5")
 def _(s, d):
-    """Every held-out row with its leading class, calibrated probability and status, from a model on signals."""
-    from plainsight.ml import models
-
-    f = _recomputed(s, d).where("pattern_category is not null")
-    side = splits.stratified(f, "row_id", "pattern_category").select("row_id", "side")
-    scored, names = models.calibrated_on_signals(f.join(side, "row_id"))
-    name = F.element_at(F.array(*[F.lit(c) for c in names]), scoring.argmax(F.col("probs")) + 1)
-    top = F.array_max("probs")
-    return scored.select("row_id", name.alias("label"), top.alias("score"), scoring.status(name, top).alias("status"))
+    return sampling.random_rows(_features(s, d).select("row_id", "text"), "row_id", 5)
 
 
 # --- ranking and pivots on the star tables ---------------------------------------------------------------------------

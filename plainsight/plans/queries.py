@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plainsight.plans import general
+from plainsight.plans import general, models  # noqa: F401 - registers its queries
 from plainsight.session import table
 from plainsight.sources import records
 

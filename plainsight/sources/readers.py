@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plainsight.constants import SIGNALS
+from plainsight.constants import CLASSES, SIGNALS
 from plainsight.operators.splits import GateError
 
 CORPUS = "page_id string, text string, label int, pattern_category string"
@@ -38,6 +38,30 @@ def read_json_document(spark: SparkSession, path: str, schema: str) -> DataFrame
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A source that may be missing: then an empty table of its schema."""
+    return read_csv(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def read_classes(spark: SparkSession, path: str) -> list[str]:
+    """Class names of a saved label map, or the built-in ones where there is none or it names no class."""
+    if exists(spark, path):
+        found = read_json_document(spark, path, LABEL_MAP).head(1)
+        if found and found[0]["classes"]:
+            return list(found[0]["classes"])
+    return list(CLASSES)
+
+
+def write_text(lines: DataFrame, path: str) -> None:
+    """One string column as lines of text."""
+    lines.write.mode("overwrite").text(path)
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 

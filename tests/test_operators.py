@@ -165,13 +165,52 @@ def test_split_gates(spark):
             splits.validate_split(bad, rows, "row_id")
 
 
-def test_yeo_johnson_normalises():
+def test_yeo_johnson_is_fitted_on_every_value(spark):
+    """Beyond any number of distinct values, against the likelihood itself."""
     rng = np.random.default_rng(0)
-    x = np.round(np.exp(rng.normal(size=2000)), 2)
-    v, w = np.unique(x, return_counts=True)
-    lam = scaling.best_lambda(v, w.astype(float))
-    best = scaling.yeo_johnson_log_likelihood(v, w, lam)
-    assert all(best >= scaling.yeo_johnson_log_likelihood(v, w, lam + e) for e in (-0.1, 0.1))
+    x = np.concatenate([np.exp(rng.normal(size=9000)), -np.exp(rng.normal(size=3000) - 1)])
+    df = spark.createDataFrame([(float(v), 3.0, None) for v in x], "x double, constant double, none double")
+    lam, mean, dev = scaling.power_parameters(df, ["x", "constant", "none"])["x"]
+
+    def moved(v, lam):
+        up, down = np.clip(v, 0, None), np.clip(-v, 0, None)
+        return np.where(v >= 0, ((up + 1) ** lam - 1) / lam, -((down + 1) ** (2 - lam) - 1) / (2 - lam))
+
+    def likelihood(lam):
+        return -len(x) / 2 * np.log(moved(x, lam).var()) + (lam - 1) * (np.sign(x) * np.log1p(np.abs(x))).sum()
+
+    assert all(likelihood(lam) >= likelihood(lam + e) for e in (-1e-3, 1e-3))
+    assert math.isclose(mean, moved(x, lam).mean(), rel_tol=1e-6) and math.isclose(dev, moved(x, lam).std(), rel_tol=1e-6)
+    got = scaling.power_scaled(df, ["x", "constant", "none"]).agg(F.avg("x"), F.stddev_pop("x"), F.max(F.abs("constant")), F.count("none")).first()
+    assert abs(got[0]) < 1e-9 and math.isclose(got[1], 1, rel_tol=1e-9) and abs(got[2]) < 1e-9 and got[3] == 0
+
+
+def test_strata_of_any_size_are_cut_exactly(spark, monkeypatch):
+    df = spark.range(3000).select(F.col("id").alias("r"), F.when(F.col("id") < 2500, "big").when(F.col("id") < 2990, "small").alias("y"))
+    whole = {tuple(r) for r in splits.stratified(df, "r", "y").collect()}
+    monkeypatch.setattr(codes, "DEALT", 40)
+    cut = {tuple(r) for r in splits.stratified(df, "r", "y").collect()}
+    assert whole == cut and len(cut) == 3000
+    assert [sum(1 for r in cut if r[1] == y and r[2] == "test") for y in ("big", "small", None)] == [500, 98, 2]
+
+
+def test_numbering_over_partitions(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
+    assert all(r["x"] == r["n"] for r in codes.numbered(df, [F.col("x")]).collect())
+    assert codes.numbered(df.limit(0), [F.col("x")]).count() == 0
+
+
+def test_description_equals_pandas(spark):
+    import pandas as pd
+
+    x = [3.0, 1.0, 1.0, 7.5, 2.0, None, 9.0]
+    df = spark.createDataFrame([(v, None) for v in x], "x double, y double")
+    from plainsight.operators import describe
+
+    got = {r["name"]: r.asDict() for r in describe.described(df, ["x", "y"]).collect()}
+    want = pd.Series(x).describe()
+    assert np.allclose([got["x"][k] for k in ("count", "mean", "std", "min", "q25", "q50", "q75", "max")], want.to_numpy())
+    assert got["y"]["count"] == 0 and got["y"]["q50"] is None
 
 
 def test_oversampling_balances(spark):
@@ -234,8 +273,6 @@ def test_content_hash_follows_order(spark):
 
 
 def test_calibration_is_monotone(spark):
-    from pyspark.ml.functions import array_to_vector
-
     from plainsight.ml import models
 
     rng = random.Random(4)
@@ -243,25 +280,92 @@ def test_calibration_is_monotone(spark):
     for _ in range(400):
         y = rng.randrange(3)
         rows.append(([rng.gauss(2.0 if c == y else -1.0, 1.5) for c in range(3)], y))
-    df = spark.createDataFrame(rows, "m array<double>, label_code int").select(array_to_vector("m").alias("rawPrediction"), "label_code")
+    df = spark.createDataFrame(rows, "margins array<double>, y int")
     fit = models.calibrated(df, 3)
     assert all(a > 0 for a, _ in fit)
-    got = models.probabilities(df, fit).select("probs", "label_code").collect()
+    got = models.probabilities(df, fit).select("probs", "y").collect()
     assert all(abs(sum(r["probs"]) - 1) < 1e-9 for r in got)
-    assert sum(max(range(3), key=lambda c: r["probs"][c]) == r["label_code"] for r in got) > 280
+    assert sum(max(range(3), key=lambda c: r["probs"][c]) == r["y"] for r in got) > 280
 
 
-def test_selection_over_folds(spark):
-    from pyspark.ml.functions import array_to_vector
+def _rows(rng, n, width, k):
+    from plainsight.ml import linear
 
-    from plainsight.ml import models
+    y = rng.integers(0, k, n)
+    idx = [np.unique(np.concatenate([rng.integers(0, width, 6), [c * 3, c * 3 + 1]])) for c in y]
+    return linear.Rows.of(idx, [rng.random(len(i)) for i in idx]), y
+
+
+def test_svm_reaches_the_optimum():
+    from plainsight.ml import linear
+
+    rng = np.random.default_rng(1)
+    rows, y = _rows(rng, 90, 40, 3)
+    dense = np.zeros((90, 41))
+    dense[np.repeat(np.arange(90), np.diff(rows.at)), rows.idx] = rows.val
+    dense[:, -1] = 1
+    products = linear.gram(rows)
+    assert np.allclose(products, dense @ dense.T, atol=1e-4)
+    w = linear.weights_of(rows, linear.linear_svm(products, linear.plain(90), y, 3, 1.0, tol=1e-6), 40)
+    assert np.allclose(linear.margins(rows, w), dense @ w)
+    for c in range(3):
+        s = np.where(y == c, 1, -1)
+        grad = w[:, c] - 2 * dense.T @ (s * np.maximum(1 - s * (dense @ w[:, c]), 0))
+        assert np.linalg.norm(grad) < 1e-3
+
+
+def test_gram_beyond_the_dense_columns(monkeypatch):
+    from plainsight.ml import linear
+
+    rows, _ = _rows(np.random.default_rng(2), 50, 300, 4)
+    whole = linear.gram(rows)
+    monkeypatch.setattr(linear, "_DENSE", 5)
+    assert np.allclose(linear.gram(rows), whole, atol=1e-4)
 
+
+def test_oversampled_mix_lies_between_neighbours():
+    from plainsight.ml import linear
+
+    rows, y = _rows(np.random.default_rng(3), 60, 40, 3)
+    y[:40], y[40:59], y[59] = 0, 1, 2
+    products = linear.gram(rows)
+    mix, label = linear.oversampled_mix(products, y)
+    assert np.bincount(label).tolist() == [40, 40, 40] and (mix.base[:60] == np.arange(60)).all()
+    length = np.diagonal(products).astype(float)
+    for b, o, c in zip(mix.base[60:], mix.other[60:], label[60:]):
+        assert y[b] == y[o] == c
+        if c == 1:
+            d = {j: round(length[b] + length[j] - 2 * products[b, j], 4) for j in np.flatnonzero(y == 1) if j != b}
+            assert d[o] <= sorted(d.values())[4] + 1e-3
+
+
+def _labelled(spark, n=90):
     rng = random.Random(2)
-    rows = [(k, [rng.gauss(3 * (k % 3 == c), 1) for c in range(3)], float(k % 3), k % 2) for k in range(60)]
-    df = spark.createDataFrame(rows, "row_id long, x array<double>, label_code double, fold int")
-    data = df.select("row_id", array_to_vector("x").alias("features"), "label_code")
-    ranked = models.best_c(data, df.select("row_id", "fold"), "row_id", (0.5, 2.0))
-    assert len(ranked) == 2 and ranked[0][1] >= ranked[1][1] > 0.5
+    words = {"a": "hurry sale ends", "b": "cookie policy accept", "c": "cancel by phone only"}
+    rows = []
+    for k in range(n):
+        y = "abc"[k % 3]
+        x = " ".join(rng.sample(words[y].split(), 2) + rng.sample("the of and to page now item".split(), 3))
+        rows.append((k, x, x, y, k % 3 + (k // 3) % 2, *[rng.randrange(3) for _ in SIGNALS]))
+    return spark.createDataFrame(rows, "row_id long, text string, clean_text string, pattern_category string, fold int, " + ", ".join(f"{c} int" for c in SIGNALS))
+
+
+def test_selection_calibration_and_files(spark, tmp_path):
+    from plainsight.ml import models
+
+    df = _labelled(spark).withColumn("fold", F.floor(F.col("row_id") / 3) % 2)
+    names = models.class_names(df)
+    ranked = models.selected_cost(df, names, grid=(0.5, 2.0))
+    assert len(ranked) == 2 and ranked[0][1] >= ranked[1][1] > 0.8
+    model = models.fitted_model(df, names, ranked[0][0])
+    out = models.predicted(df, model)
+    got = {r["row_id"]: r["probs"] for r in out.collect()}
+    assert len(got) == 90 and all(abs(sum(p) - 1) < 1e-9 for p in got.values())
+    assert sum(names[max(range(3), key=lambda c: p[c])] == "abc"[k % 3] for k, p in got.items()) > 80
+    models.save(spark, model, str(tmp_path / "model"))
+    again = {r["row_id"]: r["probs"] for r in models.predicted(df, models.load(spark, str(tmp_path / "model"))).collect()}
+    assert again == got
+    assert models.predicted(df.limit(0), model).count() == 0
 
 
 def test_features_are_exact_and_fitted_on_train(spark):
@@ -271,8 +375,14 @@ def test_features_are_exact_and_fitted_on_train(spark):
 
     texts = ["buy buy now", "buy later", "now or later", "unseen zzz now"]
     rows = [(k, x, *[(k + c) % 3 for c in range(12)]) for k, x in enumerate(texts)]
-    df = spark.createDataFrame(rows, "row_id long, text string, " + ", ".join(f"{c} int" for c in SIGNALS))
-    got = {r["row_id"]: r["features"].toArray() for r in models.features(df, df.where("row_id < 3")).collect()}
+    df = spark.createDataFrame(rows, "row_id long, text string, " + ", ".join(f"{c} int" for c in SIGNALS)).withColumn("t", F.col("row_id") < 3)
+    counts = models.counted(df, models.CURRENT, "row_id", ["t"])
+    fitted = models.fit_features(df, counts, models.CURRENT, ["t"])
+    width = fitted[0].width
+    got = {}
+    for r in models.vectors(df, counts, fitted).collect():
+        got[r["row_id"]] = np.zeros(width)
+        got[r["row_id"]][r["idx"]] = r["val"]
     grams = [Counter(p[i : i + n] for w in x.split() for p in [f" {w} "] for n in range(2, 7) for i in range(len(p) - n + 1)) for x in texts]
     seen = Counter(g for c in grams[:3] for g in c)
     vocab = sorted(g for g, c in seen.items() if c >= 2)
@@ -282,6 +392,41 @@ def test_features_are_exact_and_fitted_on_train(spark):
     assert np.allclose(np.mean([got[k][-12:] for k in range(3)], axis=0), 0)
 
 
+def test_macro_f1_of_counts(spark):
+    from plainsight.ml import models
+
+    rows = [("a", "a"), ("a", "z"), ("b", "b"), ("c", "b")]
+    table = [(ord(y), ord(p), 1) for y, p in rows]
+    want = metrics.summary(spark.createDataFrame(rows, "y string, p string")).first()["macro_f1"]
+    assert math.isclose(models.macro_f1(table), want) and models.macro_f1([]) == 0.0
+
+
+def test_inflation_and_saved_splits(spark, tmp_path):
+    from plainsight.operators import audit
+    from plainsight.sources import readers
+
+    r = audit.inflation(spark, [("m", 0.8, 0.6), ("none", 0.0, 0.0)]).collect()
+    assert (r[0]["macro_f1_drop"], r[0]["relative_pct"]) == (0.2, 25.0) and r[1]["relative_pct"] is None
+    # rows 0, 1, 2 are one group over a page and a template; row 3 stands apart
+    rows = spark.createDataFrame([(0, "p", "Save 10% now"), (1, "p", "other words"), (2, "q", "Save 20% now"), (3, "r", "alone")], "row_id long, page_id string, text string")
+    from plainsight.functions import text
+
+    g = components.linked_rows(rows, "row_id", [F.col("page_id"), text.skeleton(F.col("text"))])
+    assert {x["row_id"]: x["group"] for x in g.collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
+    split = g.select("row_id", F.when(F.col("group") == 0, "train").otherwise("test").alias("side"))
+    whole = rows.join(g, "row_id")
+    saved = splits.content_hash(whole, "row_id", ["page_id", "text"]).first()[0]
+    splits.validate_saved(split, saved, whole, "row_id", ["page_id", "text"])
+    with pytest.raises(splits.GateError):
+        splits.validate_saved(split, saved, whole.withColumn("text", F.lower("text")), "row_id", ["page_id", "text"])
+    assert readers.read_optional(spark, str(tmp_path / "absent.csv"), readers.COLLECTED).count() == 0
+    assert len(readers.read_classes(spark, str(tmp_path / "absent.json"))) == 14
+    (tmp_path / "map.json").write_text('{"classes": ["x", "y"], "max_length": 64}')
+    assert readers.read_classes(spark, str(tmp_path / "map.json")) == ["x", "y"]
+    readers.write_text(spark.createDataFrame([("a",), ("b",)], "value string"), str(tmp_path / "t"))
+    assert sorted(x[0] for x in spark.read.text(str(tmp_path / "t")).collect()) == ["a", "b"]
+
+
 def test_windowed_stream(spark, sf, tmp_path):
     from plainsight.streaming import screens
 

@@ -22,8 +22,10 @@ def test_every_oracle_has_a_query():
 
 def test_queries_without_oracle_run(spark, sf):
     q = core.queries()
-    assert q["sampled_rows"](spark, sf).count() == 5
     n = spark.read.parquet(f"{sf}/features.parquet").count()
     assert q["grouped_folds"](spark, sf).count() == n
-    assert q["power_scaled"](spark, sf).count() == n
-    assert q["template_split_leaks"](spark, sf).first()["shared_groups"] == 0
+    assert q["cv_selection"](spark, sf).count() == 3
+    report = q["audit_report"](spark, sf).first()
+    assert report["leak_free_split"]["leaked_test_rows"] == 0 and len(report["models"]) == 2 and report["trivial_probes"]["keyword_only"]["macro_f1"] > 0
+    scores = q["calibrated_scores"](spark, sf).collect()
+    assert scores and all(0 < r["score"] <= 1 and len(r["best"]) == 5 and r["best"][0] == r["label"] for r in scores)
