@@ -18,7 +18,7 @@ TEXT = st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("aеｅ
     "raw, form",
     [
         ("Ｙｏｕ 𝐒𝐮n", "You Sun"), ("раура l", "paypa l"), ("ée​́", "éé"), ("а́", "á"), ("a­b⁠c﻿", "abc"),
-        ("a b　c", "a b c"), ("a\tb\r\n c ", "a\tb\r\n c "), ("₹５ ™ … –", "₹5 ™ … –"), ("", ""), ("a\x00b", "ab"), ("हिंदी", "हिंदी"),
+        ("a b　c", "a b c"), ("a\tb\r\n c ", "a\tb\r\n c "), ("₹５ ™ … –", "₹5 ™ … –"), ("", ""), ("a\x00b", "ab"), ("ⅼⅠꓮᎫ", "lIAJ"), ("हिंदी", "हिंदी"),
     ],
 )
 def test_forms(raw, form):
