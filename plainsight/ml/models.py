@@ -71,8 +71,7 @@ class Fitted:
 
 def counted(df: DataFrame, recipe: Recipe, row: str = "row_id", also: list[str] | None = None) -> DataFrame:
     """Terms of every row with their counts; ``also`` carries further columns of the row along."""
-    each = df.select(row, *(also or []), F.explode(recipe.terms(F.col(recipe.text))).alias("term"))
-    return each.groupBy(row, *(also or []), "term").agg(F.count("*").alias("tf"))
+    return terms.term_counts(df.select(row, *(also or []), recipe.text), row, recipe.terms(F.col(recipe.text)), also)
 
 
 def fit_features(data: DataFrame, counts: DataFrame, recipe: Recipe, flags: list[str]) -> list[Fitted]:

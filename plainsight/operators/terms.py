@@ -4,13 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plainsight.functions.text import model_tokens
 from plainsight.operators.codes import numbered
+from plainsight.session import Scratch
 
+#: Terms of a vocabulary that is broadcast.
+BROADCAST = 100_000
 
-def term_counts(df: DataFrame, row: str, terms: Column) -> DataFrame:
-    return df.select(row, F.explode(terms).alias("term")).groupBy(row, "term").agg(F.count("*").alias("tf"))
+
+def by_row(df: DataFrame, row: str) -> DataFrame:
+    """Rows placed by their id, so that what is exploded from a row stays where it is counted: the texts move, not their terms."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, row)
+
+
+def term_counts(df: DataFrame, row: str, terms: Column, also: list[str] | None = None) -> DataFrame:
+    """Terms of every row with their counts; ``also`` carries further columns of the row along. ``df`` is placed by row."""
+    keys = [row, *(also or [])]
+    return by_row(df, row).select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequencies(counts: DataFrame) -> DataFrame:
@@ -24,13 +38,17 @@ def vocabulary(counts: DataFrame, min_df: int = 2, size: int | None = None) -> D
 
 
 def tfidf(counts: DataFrame, row: str, n_rows: int, min_df: int = 2, size: int | None = None) -> DataFrame:
-    """Sublinear tf, smoothed idf, rows scaled to length 1."""
+    """Sublinear tf, smoothed idf, rows scaled to length 1.
+
+    The counts are written once and read for the vocabulary and for the weights. A vocabulary of bounded ``size`` is
+    broadcast; a row's length comes from a window over its own terms.
+    """
+    counts = Scratch(counts.sparkSession, "tfidf").save(counts, "counts")
     idf = F.log((1.0 + n_rows) / (1.0 + F.col("df"))) + 1.0
-    weighed = counts.join(vocabulary(counts, min_df, size).select("term", idf.alias("idf")), "term").select(
-        row, "term", ((F.log("tf") + 1.0) * F.col("idf")).alias("w")
-    )
-    norms = weighed.groupBy(row).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighed.join(norms, row).select(row, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    known = vocabulary(counts, min_df, size).select("term", idf.alias("idf"))
+    weighed = counts.join(F.broadcast(known) if size and size <= BROADCAST else known, "term").select(row, "term", ((F.log("tf") + 1.0) * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(row)))
+    return weighed.select(row, "term", (F.col("w") / norm).alias("weight"))
 
 
 def token_vocabulary(df: DataFrame, row: str, text: Column, min_count: int = 2) -> DataFrame:

@@ -470,7 +470,7 @@ SQL_GRAMS = SQL_WORDS + ", g as (" + " union all ".join(f"select row_id, unnest(
 
 
 def _gram_counts(s, d):
-    f = spread(_features(s, d).select("row_id", "text").where("text is not null"))
+    f = _features(s, d).select("row_id", "text").where("text is not null")
     return terms.term_counts(f, "row_id", text.word_ngrams(F.col("text")))
 
 
@@ -491,7 +491,7 @@ def _(s, d):
 g as (""" + " union all ".join(f"select row_id, unnest(list_transform(range(1, greatest(length(p) - {n} + 2, 1)), lambda i: substr(p, i, {n}))) as term from w" for n in range(2, 7)) + """),
 c as (select row_id, term, count(*) as tf from g group by all) select term, count(*) as df, sum(tf)::bigint as total from c group by term having count(*) >= 2""")
 def _(s, d):
-    f = spread(_features(s, d).select("row_id", "text").where("text is not null"))
+    f = _features(s, d).select("row_id", "text").where("text is not null")
     return terms.vocabulary(terms.term_counts(f, "row_id", text.char_wb_ngrams(F.col("text"))))
 
 
