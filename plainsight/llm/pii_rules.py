@@ -281,13 +281,16 @@ GAP = _rx(r"[\s\"'“(]{0,3}")
 LEADS = {
     0.6: (
         "my name is", "name is", "name:", "name=", "name :", "i am", "i'm", "this is", "regards,", "regards", "sincerely,", "yours,", "signed,", "signed by", "dear", "contact:", "contact person:", "customer:", "customer",
-        "from:", "to:", "attn:", "holder:", "holder=", "cardholder", "sent by", "by phone with", "agent", "patient", "tenant", "passenger", "colleague", "neighbour", "manager", "nurse", "named", "mein name ist", "ich heiße", "je m'appelle",
+        "from:", "to:", "attn:", "holder:", "holder=", "cardholder", "sent by", "by phone with", "agent", "patient", "tenant", "passenger", "patient:", "tenant:", "passenger:", "guest:", "agent:", "my husband", "my wife", "my son", "my daughter", "my brother", "my sister", "my mother", "my father", "colleague", "neighbour", "manager", "nurse", "named", "mein name ist", "ich heiße", "je m'appelle",
         "me llamo", "mi nombre es", "mr.", "mrs.", "ms.", "dr.", "prof.", "mr", "mrs", "ms", "miss", "herr", "frau", "señor", "señora", "mme",
     ),
     0.4: ("—", "–"),
+    0.35: (
+        "spoke to", "spoke with", "talked to", "talked with", "speak to", "speak with", "met with", "ask for", "asked for", "helped by", "handled by", "on behalf of", "left it with", "hier ist", "habe mit",
+    ),
     0.3: (
-        "spoke to", "spoke with", "talked to", "talked with", "speak to", "speak with", "met with", "wrote to", "reply from", "emailed", "asked", "told", "thanks,", "thank you,", "thanks", "hi", "hello", "belongs to", "belonging to", "last week",
-        "yesterday", "today", "this morning", "contact", "contacted", "ask for", "met", "saw", "helped by", "handled by", "on behalf of", "son of", "daughter of", "wife of", "husband of", "mit", "avec", "con",
+        "wrote to", "reply from", "emailed", "asked", "told", "thanks,", "thank you,", "thanks", "hi", "hello", "belongs to", "belonging to", "last week",
+        "yesterday", "today", "this morning", "contact", "contacted", "met", "saw", "son of", "daughter of", "wife of", "husband of", "mit", "avec", "con",
     ),
 }
 #: What a person does, right after the name.
@@ -307,6 +310,8 @@ GIVEN = (
 ).split()
 #: Small words that are no part of a name written without capitals.
 _NO_NAME = frozenset("a an the not on in at to of for and or is was are be so no yes very here there who that this it with from by as my your his her their our all same still just also now then".split())
+#: Words of addressees that are no person.
+_NO_PERSON = frozenset("customer customers service support team sir madam sales billing accounts department office company store shop hotel help desk manager friends colleagues all everyone".split())
 _ARTICLE = _rx(r"\b(?:the|a|an|this|that|our|der|die|das|le|la|el)\s*$", re.I)
 
 
@@ -315,7 +320,7 @@ def person_score(text: str, start: int, end: int, lead: float) -> float:
     piece = text[start:end]
     words = re.findall(r"[^\W\d_]+", piece.lower())
     score = lead + 0.3 * bool(TAIL.match(text, end)) + 0.2 * bool(re.search(r"\s\w\.", piece))
-    score += 0.35 * any(w in _GIVEN for w in words)
+    score += 0.35 * any(w in _GIVEN for w in words) - any(w in _NO_PERSON for w in words)
     if piece.islower():
         return score - 0.1 - (any(w in _NO_NAME for w in words))
     return score + 0.15 - 0.4 * bool(_ARTICLE.search(text[max(0, start - 6) : start]) and not lead)

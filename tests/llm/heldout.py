@@ -1,4 +1,7 @@
-"""Texts written for problem 10 without a look at the sample documents: text, and what it holds by type.
+"""Texts for problem 10 in wordings that the sample documents do not have: text, and what it holds by type.
+
+Both lists are by the hand that wrote the rules, after reading sample documents. TEXTS served to mend rules. FURTHER
+was measured once before any rule was changed for it (the figures are in README); leads of names came after that.
 
 Types: e email, p phone, i id_number, s street_address, n person_name, c card_number, a account_number.
 """
@@ -79,3 +82,50 @@ TEXTS = [
     ("Red Fox Boots shipped from New Haven on Monday.", {}),
     ("The Privacy Notice said Free Trial ends Sunday Evening.", {}),
 ]
+
+FURTHER = [
+    ("Hallo, hier ist Sabine Krüger, meine Nummer lautet 0151 23456789.", {"n": ["Sabine Krüger"], "p": ["0151 23456789"]}),
+    ("The courier left it with Tom Whitfield at number 14 Cedar Close.", {"n": ["Tom Whitfield"], "s": ["14 Cedar Close"]}),
+    ("Kind regards, Deborah Lim", {"n": ["Deborah Lim"]}),
+    ("Mrs Okonkwo-Bright rang twice; Chidi Okonkwo did not.", {"n": ["Chidi Okonkwo"]}),
+    ("Ask for Yuki Tanaka on extension 4412.", {"n": ["Yuki Tanaka"]}),
+    ("I, Gareth Pugh, want my money back.", {"n": ["Gareth Pugh"]}),
+    ("Signed by ANNA MARIA ROSSI on Monday.", {"n": ["ANNA MARIA"]}),
+    ("My husband Miguel Ferrer paid for it.", {"n": ["Miguel Ferrer"]}),
+    ("Passenger: Lindqvist, Erik", {"n": ["Lindqvist, Erik"]}),
+    ("Please forward to Claire Dumont, 8 rue des Lilas, Lyon.", {"n": ["Claire Dumont"], "s": ["8 rue des Lilas"]}),
+    ("Mail me: k.meyer-schulz@post.example or call +49 30 901820.", {"e": ["k.meyer-schulz@post.example"], "p": ["+49 30 901820"]}),
+    ("contact = ops_team {at} site {dot} example", {"e": ["ops_team {at} site {dot} example"]}),
+    ("Ring 020 7946 0991 after lunch, not 0800 numbers.", {"p": ["020 7946 0991"]}),
+    ("Fax: +33 1 42 68 53 00", {"p": ["+33 1 42 68 53 00"]}),
+    ("SMS to 98765-43210 works.", {"p": ["98765-43210"]}),
+    ("Use 555-0134 for the front desk.", {"p": ["555-0134"]}),
+    ("My SSN ends with 6789, full one 219-09-9999.", {"i": ["219-09-9999"]}),
+    ("Passport K1234567 expires soon.", {"i": ["K1234567"]}),
+    ("Her driving licence number is MORGA657054SM9IJ.", {"i": ["MORGA657054SM9IJ"]}),
+    ("National ID 8001015009087 was refused.", {"i": ["8001015009087"]}),
+    ("NIF: 87654321X", {"i": ["87654321X"]}),
+    ("Personalausweis L01X00T471 liegt vor.", {"i": ["L01X00T471"]}),
+    ("TIN 12-3456789 on file", {"i": ["12-3456789"]}),
+    ("Pan card ABCPK1234Z please.", {"i": ["ABCPK1234Z"]}),
+    ("We moved from 7/3 Gandhi Marg to 22 MG Road.", {"s": ["7/3 Gandhi Marg", "22 MG Road"]}),
+    ("The house is at 4 Quay Street.", {"s": ["4 Quay Street"]}),
+    ("Lieferung an Am Markt 5, bitte.", {"s": ["Am Markt 5"]}),
+    ("Vive en Avenida de la Paz 101.", {"s": ["Avenida de la Paz 101"]}),
+    ("Wohnhaft in Goethestr. 19, Jena", {"s": ["Goethestr. 19"]}),
+    ("deliver to 16 oak lane please", {"s": ["16 oak lane"]}),
+    ("Visa 4111 1111 1111 1111 was charged.", {"c": ["4111 1111 1111 1111"]}),
+    ("Amex 3782 822463 10005 as well.", {"c": ["3782 822463 10005"]}),
+    ("Refund to FR14 2004 1010 0505 0001 3M02 606.", {"a": ["FR14 2004 1010 0505 0001 3M02 606"]}),
+    ("Invoice 2024-000187 from Brown & Sons Ltd.", {}),
+    ("Flight LH 1234 leaves at gate B12 in 45 minutes.", {}),
+    ("Room 101 on Second Floor, Palace Court Hotel", {}),
+    ("The Silent Forest Trail is 12 miles long.", {}),
+    ("See chapter 3, page 415, line 555.", {}),
+    ("Serial no. 4929 1234 5678 9012 on the box", {}),
+    ("Big Summer Sale by Green Leaf Foods", {}),
+    ("Dear Customer Service, nothing works.", {}),
+    ("He said Good Morning and left.", {}),
+    ("Order 4111111111111111 never came.", {}),
+    ("Between 10 and 12 Park and Ride buses ran.", {}),
+]
