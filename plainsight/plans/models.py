@@ -126,6 +126,15 @@ def _(s, d):
     return audit.inflation(s, _inflated(_sides(_prepared(s, d))))
 
 
+@query("tree_baseline", None)
+def _(s, d):
+    """The older features under trees, on the naive and on the group-safe split."""
+    rows = _sides(_prepared(s, d))
+    naive = splits.stratified(rows, "row_id", "pattern_category").select("row_id", F.col("side").alias("naive"))
+    rows = Scratch(s, "treesides").save(rows.join(naive, "row_id"), "rows")
+    return audit.inflation(s, [("older trees", models.tree_baseline(rows, "naive"), models.tree_baseline(rows, "side"))])
+
+
 @query("model_comparison", None)
 def _(s, d):
     """Models side by side on the group-safe test side and on the collected texts, best first."""
