@@ -58,3 +58,42 @@ def test_selection_and_refits_read_the_texts_once(spark, monkeypatch):
     made = fits.models({2: [0, 1], 3: [0, 1]}, 1.0)
     assert len(seen) == 1 and made[2].weights.tolist() != made[3].weights.tolist()
     assert fits.margins([0, 1], [1.0]).count() == 90  # a row for each that a fold holds out
+
+
+def test_vocabulary_of_frequent_words_is_that_of_all_terms(spark):
+    from dataclasses import replace
+
+    df = _table(spark)
+    for size in (1, 2, 4):
+        recipe = replace(models.LEGACY, size=size)
+        counts = models.counted(df, recipe, "row_id", ["a", "b"])
+        want = models.fit_features(df, counts, recipe, ["a", "b"])
+        got = models.features_of(df, models.tallied(df, recipe, ["a", "b"]), recipe, ["a", "b"])
+        assert [f.vocabulary for f in got] == [f.vocabulary for f in want]
+    assert models.tallied(df, replace(models.LEGACY, size=1), ["a", "b"]).count() < models.tallied(df, models.LEGACY, ["a", "b"]).count()
+
+
+def test_probes_count_groups_of_equal_rows(spark):
+    rows = [("a" if k % 3 else "b", "test" if k % 5 == 0 else "train", float(k % 3 == 0)) for k in range(600)]
+    df = spark.createDataFrame(rows, "pattern_category string, side string, sign double")
+    jobs = []
+    real, models.LogisticRegression = models.LogisticRegression, lambda **k: jobs.append(k) or real(**k)
+    try:
+        assert models.probe(df, "sign", ["sign"]) == ("sign", 1.0)
+    finally:
+        models.LogisticRegression = real
+    assert len(jobs) == 1
+    grouped = df.groupBy("pattern_category", "side", "sign").count()
+    assert grouped.count() == 4
+
+
+def test_trees_learn_from_weighted_rows(spark):
+    df = _labelled(spark).withColumn("naive", F.when(F.col("row_id") % 5 == 0, "test").otherwise("train"))
+    df = df.withColumn("side", F.when(F.col("row_id") < 20, "test").otherwise("train")).drop("fold")
+    twice = df.unionByName(df.withColumn("row_id", F.col("row_id") + 1000))
+    from plainsight.session import Scratch
+
+    flagged = twice.withColumn("_t", F.col("naive") == "train")
+    (groups,) = models.grouped_vectors(flagged, ["_t"], models.LEGACY, Scratch(spark, "test"))
+    assert groups.agg(F.sum("n"), F.min("n")).first()[:] == (180, 2)
+    assert all(x > 0.7 for x in models.tree_baseline(twice, ["naive", "side"], trees=20, depth=5))
