@@ -59,3 +59,18 @@ def test_fits_learn_from_all_rows_and_score_all(spark, monkeypatch):
     got = margins()
     assert len(got) == 180 and got.keys() == want.keys()
     assert all(np.allclose(got[k], want[k], atol=0.05) for k in want)
+
+
+def test_selection_and_refits_learn_from_all_rows(spark, monkeypatch):
+    df = _labelled(spark).withColumn("fold", F.floor(F.col("row_id") / 3) % 2)
+
+    def selected():
+        fits = models.Fits(df, [*models.fold_parts("fold", 2), models.whole_part(F.col("row_id") < 60), models.whole_part()], ["a", "b", "c"], models.CURRENT)
+        return models.ranked(fits, [0, 1]), fits.models({2: [0, 1], 3: [0, 1]}, 1.0)
+
+    ranks, want = selected()
+    monkeypatch.setattr(models, "FIT_ROWS", 10)
+    again, got = selected()
+    assert np.allclose(sorted(again), sorted(ranks), atol=0.05)
+    for k, m in got.items():
+        assert np.allclose(m.weights, want[k].weights, atol=0.05) and np.allclose(m.sigmoids, want[k].sigmoids, atol=0.2)
